@@ -69,10 +69,11 @@ def previous_rows(positioned: DataFrame, cols: Sequence[str], back: int, pos: st
     ).select(*by, (F.col("_p") + F.col("_lag")).alias(pos), "_lag", *cols)
 
 
-def tie_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct value with its count and the mean rank its copies share."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    ranked = running_totals(counts, [value], F.col("ties"), by)
+def tie_ranks(df: DataFrame, value: str, by: Sequence[str] = (), copies: Column | None = None) -> DataFrame:
+    """One row per distinct value with its count, the mean rank its copies share, and the group's size."""
+    n = F.count(F.lit(1)) if copies is None else F.sum(copies)
+    counts = df.groupBy(*by, value).agg(n.alias("ties"))
+    ranked = running_totals(counts, [value], F.col("ties"), by, total="total")
     return ranked.withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before")
 
 

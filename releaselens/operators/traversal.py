@@ -2,29 +2,20 @@
 
 A row holds the state of one node for a whole block of sources: one bit per source for reachability (Then
 et al., "The More the Merrier", VLDB 2014), or one column per source for path counts. A level is one join
-with the arcs and one aggregation, however many sources there are.
+with the arcs and one aggregation, however many sources there are. The level is a column, not a literal,
+so every level runs the same compiled code.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from releaselens.session import materialize, materialize_with
 
 WORDS = 8
 BLOCK = 64 * WORDS
-LANES = 16
-
-
-def _total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
-def _any(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+LANES = 8
 
 
 def reach(arcs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -35,47 +26,45 @@ def reach(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """
     key = ["release", "block", "node"]
     words = range(WORDS)
-    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)
-    start = [F.when(F.floor(F.col("bit") / 64) == w, mark).otherwise(F.lit(0).cast("bigint")) for w in words]
-    # One row may be the seat of one source only, but a node can be reached from its own block.
+    start = [f"IF(bit div 64 = {w}, shiftleft(1L, bit % 64), 0L)" for w in words]
     state, seen = materialize_with(
-        sources.select(
+        sources.selectExpr(
             *key,
-            *[start[w].alias(f"seen{w}") for w in words],
-            *[start[w].alias(f"new{w}") for w in words],
-            F.lit(0).cast("bigint").alias("distance"),
-            F.lit(0).cast("bigint").alias("depth"),
+            *[f"{start[w]} AS seen{w}" for w in words],
+            *[f"{start[w]} AS new{w}" for w in words],
+            "0L AS distance",
+            "0L AS depth",
+            "0L AS level",
         ),
         frontier=F.count(F.lit(1)),
     )
-    level = 0
+    moves = " OR ".join(f"new{w} <> 0" for w in words)
+    gained = " + ".join(f"bit_count(new{w})" for w in words)
     while seen["frontier"]:
-        level += 1
-        moving = state.filter(_any([F.col(f"new{w}") != 0 for w in words]))
         arriving = (
-            moving.select(*key, *[f"new{w}" for w in words])
+            state.filter(moves)
             .join(arcs, ["release", "node"])
             .groupBy("release", "block", F.col("other").alias("node"))
-            .agg(*[F.bit_or(f"new{w}").alias(f"in{w}") for w in words])
+            .agg(F.max("level").alias("from_level"), *[F.expr(f"bit_or(new{w}) AS in{w}") for w in words])
+        )
+        fresh = state.join(arriving, key, "full").selectExpr(
+            *key,
+            "coalesce(distance, 0L) AS distance",
+            "coalesce(depth, 0L) AS depth",
+            "coalesce(level, from_level) + 1 AS level",
+            *[f"coalesce(seen{w}, 0L) AS seen{w}" for w in words],
+            *[f"coalesce(in{w}, 0L) & ~coalesce(seen{w}, 0L) AS new{w}" for w in words],
         )
-        zero = F.lit(0).cast("bigint")
-        fresh = [
-            F.coalesce(f"in{w}", zero).bitwiseAND(F.bitwise_not(F.coalesce(f"seen{w}", zero))) for w in words
-        ]
-        joined = state.drop(*[f"new{w}" for w in words]).join(arriving, key, "full")
-        joined = joined.select(*key, "distance", "depth", *[f"seen{w}" for w in words], *[
-            fresh[w].alias(f"new{w}") for w in words
-        ])
-        gained = _total([F.bit_count(f"new{w}") for w in words])
         state, seen = materialize_with(
-            joined.select(
+            fresh.selectExpr(
                 *key,
-                *[F.coalesce(f"seen{w}", zero).bitwiseOR(F.col(f"new{w}")).alias(f"seen{w}") for w in words],
+                *[f"seen{w} | new{w} AS seen{w}" for w in words],
                 *[f"new{w}" for w in words],
-                (F.coalesce("distance", zero) + gained * F.lit(level)).alias("distance"),
-                F.when(gained > 0, F.lit(level).cast("bigint")).otherwise(F.coalesce("depth", zero)).alias("depth"),
+                f"distance + ({gained}) * level AS distance",
+                f"IF({moves}, level, depth) AS depth",
+                "level",
             ),
-            frontier=F.count_if(_any([F.col(f"new{w}") != 0 for w in words])),
+            frontier=F.expr(f"count_if({moves})"),
         )
     return state.select(*key, "distance", "depth")
 
@@ -89,69 +78,67 @@ def shortest_path_loads(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     arcs = materialize(arcs)
     key = ["release", "lane", "node"]
     lanes = range(LANES)
-    mine = [F.col("seat") % LANES == j for j in lanes]
+    # dist and paths of the lane's sources; dist -1 marks a node not reached yet.
     state, seen = materialize_with(
-        sources.select(
+        sources.selectExpr(
             "release",
-            F.floor(F.col("seat") / LANES).cast("int").alias("lane"),
+            f"seat div {LANES} AS lane",
             "node",
-            *[F.when(mine[j], 0).alias(f"d{j}") for j in lanes],
-            *[F.when(mine[j], 1.0).otherwise(0.0).alias(f"s{j}") for j in lanes],
+            *[f"IF(seat % {LANES} = {j}, 0L, -1L) AS dist{j}" for j in lanes],
+            *[f"IF(seat % {LANES} = {j}, 1D, 0D) AS paths{j}" for j in lanes],
+            "0L AS level",
         ),
         frontier=F.count(F.lit(1)),
     )
+    at_level = " OR ".join(f"dist{j} = level" for j in lanes)
 
-    def send(rows: DataFrame, values: list[Column], names: list[str]) -> DataFrame:
-        """Sum of the neighbours' values."""
-        sent = rows.select(*key, *[v.alias(n) for v, n in zip(values, names)])
+    def send(rows: DataFrame, value: str) -> DataFrame:
+        """Sum over the neighbours of ``value`` where a lane stands at the current level."""
         return (
-            sent.join(arcs, ["release", "node"])
+            rows.filter(at_level)
+            .selectExpr(*key, "level", *[f"IF(dist{j} = level, {value.format(j=j)}, 0D) AS out{j}" for j in lanes])
+            .join(arcs, ["release", "node"])
             .groupBy("release", "lane", F.col("other").alias("node"))
-            .agg(*[F.sum(n).alias(n) for n in names])
+            .agg(F.max("level").alias("from_level"), *[F.sum(f"out{j}").alias(f"in{j}") for j in lanes])
         )
 
-    names = [f"in{j}" for j in lanes]
-    level = 0
+    depth = -1
     while seen["frontier"]:
-        at = [_at_level(F.col(f"d{j}"), level) for j in lanes]
-        arriving = send(state.filter(_any(at)), [F.when(at[j], F.col(f"s{j}")).otherwise(0.0) for j in lanes], names)
-        level += 1
-        first = [F.col(f"d{j}").isNull() & (F.coalesce(names[j], F.lit(0.0)) > 0) for j in lanes]
+        depth += 1
+        rows = state.join(send(state, "paths{j}"), key, "full").selectExpr(
+            *key,
+            "coalesce(level, from_level) + 1 AS level",
+            *[f"coalesce(dist{j}, -1L) AS dist{j}" for j in lanes],
+            *[f"coalesce(paths{j}, 0D) AS paths{j}" for j in lanes],
+            *[f"coalesce(in{j}, 0D) AS in{j}" for j in lanes],
+        )
         state, seen = materialize_with(
-            state.join(arriving, key, "full").select(
+            rows.selectExpr(
                 *key,
-                *[F.when(first[j], F.lit(level)).otherwise(F.col(f"d{j}")).alias(f"d{j}") for j in lanes],
-                *[
-                    F.when(first[j], F.col(names[j])).otherwise(F.coalesce(f"s{j}", F.lit(0.0))).alias(f"s{j}")
-                    for j in lanes
-                ],
+                "level",
+                *[f"IF(dist{j} < 0 AND in{j} > 0, level, dist{j}) AS dist{j}" for j in lanes],
+                *[f"IF(dist{j} < 0 AND in{j} > 0, in{j}, paths{j}) AS paths{j}" for j in lanes],
             ),
-            frontier=F.count_if(_any([_at_level(F.col(f"d{j}"), level) for j in lanes])),
+            frontier=F.expr(f"count_if({at_level})"),
         )
 
-    state = state.select("*", *[F.lit(0.0).alias(f"t{j}") for j in lanes])
-    for back in range(level - 1, 0, -1):
-        at = [_at_level(F.col(f"d{j}"), back) for j in lanes]
-        flows = [F.when(at[j], (1.0 + F.col(f"t{j}")) / F.col(f"s{j}")).otherwise(0.0) for j in lanes]
-        arriving = send(state.filter(_any(at)), flows, names)
-        above = [_at_level(F.col(f"d{j}"), back - 1) for j in lanes]
+    # The last level written is empty; dependencies start one level above it.
+    state = state.selectExpr(
+        *key,
+        "level - 1 AS level",
+        *[f"dist{j}" for j in lanes],
+        *[f"paths{j}" for j in lanes],
+        *[f"0D AS load{j}" for j in lanes],
+    )
+    for _ in range(depth):
         state = materialize(
-            state.join(arriving, key, "left").select(
+            state.join(send(state, "(1D + load{j}) / paths{j}"), key, "left").selectExpr(
                 *key,
-                *[f"d{j}" for j in lanes],
-                *[f"s{j}" for j in lanes],
-                *[
-                    F.when(above[j], F.col(f"s{j}") * F.coalesce(names[j], F.lit(0.0)))
-                    .otherwise(F.col(f"t{j}"))
-                    .alias(f"t{j}")
-                    for j in lanes
-                ],
+                "level - 1 AS level",
+                *[f"dist{j}" for j in lanes],
+                *[f"paths{j}" for j in lanes],
+                *[f"IF(dist{j} = level - 1, paths{j} * coalesce(in{j}, 0D), load{j}) AS load{j}" for j in lanes],
             )
         )
-    passed = _total([F.when(F.col(f"d{j}") > 0, F.col(f"t{j}")).otherwise(0.0) for j in lanes])
-    return state.groupBy("release", "node").agg(F.sum(passed).alias("load"))
-
-
-def _at_level(column: Column, level: int) -> Column:
-    """Equality that is false, not NULL, for unreached nodes."""
-    return F.coalesce(column == level, F.lit(False))
+    passed = " + ".join(f"IF(dist{j} > 0, load{j}, 0D)" for j in lanes)
+    return state.groupBy("release", "node").agg(F.expr(f"sum({passed}) AS load"))
