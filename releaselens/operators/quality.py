@@ -70,8 +70,10 @@ def target_correlations(df: DataFrame, target: str, cols: Sequence[str]) -> Data
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str], n: int = 10) -> DataFrame:
     """The ``n`` features that rise most and the ``n`` that fall most with the target."""
     known = target_correlations(df, target, cols).filter(F.col("corr").isNotNull())
-    top = known.orderBy(F.col("corr").desc(), "feature").limit(n).withColumn("side", F.lit("top"))
-    low = known.orderBy(F.col("corr").asc(), "feature").limit(n).withColumn("side", F.lit("bottom"))
+    # Twelve digits: the order of summation must not decide between equal features.
+    place = F.round("corr", 12)
+    top = known.orderBy(place.desc(), "feature").limit(n).withColumn("side", F.lit("top"))
+    low = known.orderBy(place.asc(), "feature").limit(n).withColumn("side", F.lit("bottom"))
     return top.unionByName(low)
 
 

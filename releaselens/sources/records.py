@@ -42,8 +42,7 @@ def flatten_records(
     """Nested records to flat rows: ``a.b.c`` paths (NULL where a level is missing) and joined name lists."""
     cols = {name: F.col(path) for name, path in paths.items()}
     for name, (path, member) in arrays.items():
-        names = F.transform(F.col(path), lambda item, m=member: item[m])
-        cols[name] = F.when(F.size(F.col(path)) > 0, F.array_join(names, ", "))
+        cols[name] = F.when(F.size(F.col(path)) > 0, F.array_join(F.col(f"{path}.{member}"), ", "))
     for name in ts_cols:
         cols[name] = F.try_to_timestamp(cols[name])
     return raw.select(*[col.alias(name) for name, col in cols.items()])
