@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, Ty
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from releaselens.functions import scalars as S
 from releaselens.operators.evaluation import classification_metrics, roc_auc
@@ -149,14 +152,29 @@ def evaluate(scored: DataFrame, by: Sequence[str], label: str) -> DataFrame:
     return classification_metrics(rows, by, "_y", "pred").join(auc, list(by))
 
 
-def cv_f1(model: Classifier, folded: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:
+def _concurrently(spark, jobs: Sequence[Callable[[], DataFrame]], threads: int) -> DataFrame:
+    """Run independent jobs side by side, as small fits leave most executors idle, and union their rows."""
+    with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fold_predictions(model: Classifier, folded: DataFrame, fold: int, cols: Sequence[str], label: str) -> DataFrame:
+    part = folded.filter(F.col("fold") == fold)
+    scorer = model.fit(part.filter("role = 'train'"), cols, label)
+    return scorer.score(part.filter("role = 'valid'")).select("fold", label, "pred")
+
+
+def _fold_numbers(folded: DataFrame) -> list[int]:
+    return [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+
+
+def cv_f1(
+    model: Classifier, folded: DataFrame, cols: Sequence[str], label: str = "label", threads: int = 4
+) -> DataFrame:
     """One row: mean and population deviation of F1 over the folds of ``cv_folds``."""
-    scored = None
-    for (fold,) in folded.select("fold").distinct().orderBy("fold").collect():
-        part = folded.filter(F.col("fold") == fold)
-        scorer = model.fit(part.filter("role = 'train'"), cols, label)
-        held = scorer.score(part.filter("role = 'valid'")).select("fold", label, "pred")
-        scored = held if scored is None else scored.unionByName(held)
+    jobs = [partial(_fold_predictions, model, folded, fold, cols, label) for fold in _fold_numbers(folded)]
+    scored = _concurrently(folded.sparkSession, jobs, threads)
     per_fold = classification_metrics(scored, ["fold"], label, "pred")
     return per_fold.agg(F.avg("f1").alias("cv_f1_mean"), F.stddev_pop("f1").alias("cv_f1_std"))
 
@@ -167,25 +185,39 @@ def model_sweep(
     models: Mapping[str, Classifier],
     subsets: Mapping[str, Sequence[str]],
     label: str = "label",
+    threads: int = 4,
 ) -> DataFrame:
-    """Every model on every feature subset: cross-validated F1 and the scores on validation and test rows."""
+    """Every model on every feature subset: cross-validated F1 and the scores on validation and test rows.
+
+    Each fit writes the predictions of its held-out rows; all scores come from one pass over them.
+    """
     train, held = split.filter("split = 'train'"), split.filter("split <> 'train'")
-    scored, validated = None, None
-    for variant, cols in subsets.items():
-        for name, model in models.items():
-            tag = [F.lit(name).alias("model"), F.lit(variant).alias("variant")]
-            cv = cv_f1(model, folded, cols, label).select(
-                *tag, F.lit(len(cols)).cast("bigint").alias("n_features"), "cv_f1_mean", "cv_f1_std"
-            )
-            rows = model.fit(train, cols, label).score(held).select(*tag, "split", label, "score", "pred")
-            scored = rows if scored is None else scored.unionByName(rows)
-            validated = cv if validated is None else validated.unionByName(cv)
-    scores = evaluate(scored, ["model", "variant", "split"], label)
+    tag = ["model", "variant", "part", label, "score", "pred"]
+
+    def run(name: str, variant: str, fold: int | None) -> DataFrame:
+        model, cols = models[name], subsets[variant]
+        if fold is None:
+            rows = model.fit(train, cols, label).score(held).withColumn("part", F.col("split"))
+        else:
+            part = folded.filter(F.col("fold") == fold)
+            scorer = model.fit(part.filter("role = 'train'"), cols, label)
+            rows = scorer.score(part.filter("role = 'valid'")).withColumn("part", F.concat(F.lit("cv"), F.lit(fold)))
+        rows = rows.withColumn("model", F.lit(name)).withColumn("variant", F.lit(variant))
+        return materialize(rows.select(*tag))
+
+    folds = [None, *_fold_numbers(folded)]
+    jobs = [partial(run, name, variant, fold) for variant in subsets for name in models for fold in folds]
+    scored = _concurrently(split.sparkSession, jobs, threads)
+    scores = materialize(evaluate(scored, ["model", "variant", "part"], label))
     names = ["f1", "precision", "recall", "mcc", "roc_auc", "tn", "fp", "fn", "tp"]
+    in_cv = F.when(F.col("part").startswith("cv"), F.col("f1"))
+    sizes = F.create_map(*[F.lit(x) for v, cols in subsets.items() for x in (v, len(cols))])
     wide = scores.groupBy("model", "variant").agg(
-        *[F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}") for s in ("val", "test") for c in names]
+        F.avg(in_cv).alias("cv_f1_mean"),
+        F.stddev_pop(in_cv).alias("cv_f1_std"),
+        *[F.max(F.when(F.col("part") == s, F.col(c))).alias(f"{s}_{c}") for s in ("val", "test") for c in names],
     )
-    return validated.join(wide, ["model", "variant"])
+    return wide.withColumn("n_features", F.element_at(sizes, F.col("variant")).cast("bigint"))
 
 
 def leaderboard(results: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def _velocity(type_w: Mapping[str, float], prio_w: Mapping[str, float], default:
     weight = S.weight_of(F.col("type"), type_w, default) * S.weight_of(F.col("priority"), prio_w, default)
     return [
         F.count(F.lit(1)).alias("issue_count"),
-        F.sum(weight).alias("weighted_velocity"),
+        # Nine digits: the order of summation must not tell equal releases apart.
+        F.round(F.sum(weight), 9).alias("weighted_velocity"),
         *[F.count_if(F.col("type") == value).alias(name) for name, value in TYPE_COUNTS.items()],
     ]
 

@@ -72,10 +72,10 @@ CTES = {name: role_text(name) for name in ROLES} | {
     "speed": f"""
         SELECT release, count(key) AS num_issues, min(resolved) AS start_date, max(resolved) AS end_date,
                min(created) AS earliest_issue_created, count(*) AS issue_count,
-               sum(CASE type WHEN 'Improvement' THEN 1.5 WHEN 'New Feature' THEN 2.0 WHEN 'Sub-task' THEN 0.5
+               round(sum(CASE type WHEN 'Improvement' THEN 1.5 WHEN 'New Feature' THEN 2.0 WHEN 'Sub-task' THEN 0.5
                              WHEN 'Test' THEN 0.5 ELSE 1.0 END
                    * CASE priority WHEN 'Blocker' THEN 2.0 WHEN 'Critical' THEN 1.5 WHEN 'Minor' THEN 0.5
-                             WHEN 'Trivial' THEN 0.3 ELSE 1.0 END) AS weighted_velocity,
+                             WHEN 'Trivial' THEN 0.3 ELSE 1.0 END), 9) AS weighted_velocity,
                count(*) FILTER (type = 'Bug') AS bugs, count(*) FILTER (type = 'Improvement') AS improvements,
                count(*) FILTER (type = 'New Feature') AS new_features, count(*) FILTER (type = 'Task') AS tasks,
                {_days('min(resolved)', 'max(resolved)')} AS duration_days

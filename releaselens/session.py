@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,7 +50,6 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def materialize_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """``materialize`` plus aggregate metrics gathered during the same write."""
-    seen = Observation()
-    table = materialize(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
-    return table, seen.get
+    """``materialize`` and a few aggregate figures over the written columns they need."""
+    table = materialize(df)
+    return table, table.agg(*[c.alias(name) for name, c in metrics.items()]).first().asDict()
