@@ -170,7 +170,7 @@ def _fold_numbers(folded: DataFrame) -> list[int]:
 
 
 def cv_f1(
-    model: Classifier, folded: DataFrame, cols: Sequence[str], label: str = "label", threads: int = 4
+    model: Classifier, folded: DataFrame, cols: Sequence[str], label: str = "label", threads: int = 8
 ) -> DataFrame:
     """One row: mean and population deviation of F1 over the folds of ``cv_folds``."""
     jobs = [partial(_fold_predictions, model, folded, fold, cols, label) for fold in _fold_numbers(folded)]
@@ -185,7 +185,7 @@ def model_sweep(
     models: Mapping[str, Classifier],
     subsets: Mapping[str, Sequence[str]],
     label: str = "label",
-    threads: int = 4,
+    threads: int = 8,
 ) -> DataFrame:
     """Every model on every feature subset: cross-validated F1 and the scores on validation and test rows.
 
