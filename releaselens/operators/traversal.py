@@ -1,23 +1,31 @@
 """Breadth-first searches from many sources over many graphs, as joins with wide rows.
 
-A row holds the state of one node for a whole block of sources: one bit per source for reachability (Then
-et al., "The More the Merrier", VLDB 2014), or one column per source for path counts. A level is one join
-with the arcs and one aggregation, however many sources there are. The level is a column, not a literal,
-so every level runs the same compiled code.
+A row holds one node's state for a whole block of sources: one bit per source for reachability (Then et al.,
+"The More the Merrier", VLDB 2014), or one column per source for path counts. A level is one join with the
+arcs and one aggregation, however many sources there are. Each level is a table of its own that lists only
+the nodes first reached there: in an undirected graph the neighbours of a level lie in it, before it or after
+it, so two tables tell which of them are new.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from releaselens.session import materialize, materialize_with
+from releaselens.session import materialize, materialize_with, scratch_path
 
-WORDS = 8
+WORDS = 16
 BLOCK = 64 * WORDS
 LANES = 8
 
 
+def _levels(folder: str, like: DataFrame) -> DataFrame:
+    """All level tables of a folder, with the column ``level``."""
+    schema = T.StructType([*like.schema.fields, T.StructField("level", T.IntegerType())])
+    return like.sparkSession.read.schema(schema).parquet(folder)
+
+
 def reach(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """Search from ``sources`` (release, node, block, bit) with bit < BLOCK unique in its block.
 
@@ -26,47 +34,32 @@ def reach(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """
     key = ["release", "block", "node"]
     words = range(WORDS)
-    start = [f"IF(bit div 64 = {w}, shiftleft(1L, bit % 64), 0L)" for w in words]
-    state, seen = materialize_with(
-        sources.selectExpr(
-            *key,
-            *[f"{start[w]} AS seen{w}" for w in words],
-            *[f"{start[w]} AS new{w}" for w in words],
-            "0L AS distance",
-            "0L AS depth",
-            "0L AS level",
-        ),
-        frontier=F.count(F.lit(1)),
-    )
-    moves = " OR ".join(f"new{w} <> 0" for w in words)
-    gained = " + ".join(f"bit_count(new{w})" for w in words)
-    while seen["frontier"]:
-        arriving = (
-            state.filter(moves)
-            .join(arcs, ["release", "node"])
+    folder = scratch_path(arcs.sparkSession)
+    seeds = sources.selectExpr(*key, *[f"IF(bit div 64 = {w}, shiftleft(1L, bit % 64), 0L) AS m{w}" for w in words])
+    layer, seen = materialize_with(seeds, f"{folder}/level=0", n=F.count(F.lit(1)))
+    before, level = None, 0
+    while seen["n"]:
+        level += 1
+        fresh = (
+            layer.join(arcs, ["release", "node"])
             .groupBy("release", "block", F.col("other").alias("node"))
-            .agg(F.max("level").alias("from_level"), *[F.expr(f"bit_or(new{w}) AS in{w}") for w in words])
-        )
-        fresh = state.join(arriving, key, "full").selectExpr(
-            *key,
-            "coalesce(distance, 0L) AS distance",
-            "coalesce(depth, 0L) AS depth",
-            "coalesce(level, from_level) + 1 AS level",
-            *[f"coalesce(seen{w}, 0L) AS seen{w}" for w in words],
-            *[f"coalesce(in{w}, 0L) & ~coalesce(seen{w}, 0L) AS new{w}" for w in words],
+            .agg(*[F.bit_or(f"m{w}").alias(f"m{w}") for w in words])
         )
-        state, seen = materialize_with(
-            fresh.selectExpr(
-                *key,
-                *[f"seen{w} | new{w} AS seen{w}" for w in words],
-                *[f"new{w}" for w in words],
-                f"distance + ({gained}) * level AS distance",
-                f"IF({moves}, level, depth) AS depth",
-                "level",
-            ),
-            frontier=F.expr(f"count_if({moves})"),
-        )
-    return state.select(*key, "distance", "depth")
+        for known in (layer, before):
+            if known is not None:
+                old = known.selectExpr(*key, *[f"m{w} AS k{w}" for w in words])
+                fresh = fresh.join(old, key, "left").selectExpr(
+                    *key, *[f"m{w} & ~coalesce(k{w}, 0L) AS m{w}" for w in words]
+                )
+        fresh = fresh.filter(" OR ".join(f"m{w} <> 0" for w in words))
+        before = layer
+        layer, seen = materialize_with(fresh, f"{folder}/level={level}", n=F.count(F.lit(1)))
+    found = " + ".join(f"bit_count(m{w})" for w in words)
+    return (
+        _levels(folder, layer)
+        .groupBy(*key)
+        .agg(F.expr(f"sum(level * CAST({found} AS BIGINT)) AS distance"), F.expr("max(level) AS depth"))
+    )
 
 
 def shortest_path_loads(arcs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -78,67 +71,46 @@ def shortest_path_loads(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     arcs = materialize(arcs)
     key = ["release", "lane", "node"]
     lanes = range(LANES)
-    # dist and paths of the lane's sources; dist -1 marks a node not reached yet.
-    state, seen = materialize_with(
-        sources.selectExpr(
-            "release",
-            f"seat div {LANES} AS lane",
-            "node",
-            *[f"IF(seat % {LANES} = {j}, 0L, -1L) AS dist{j}" for j in lanes],
-            *[f"IF(seat % {LANES} = {j}, 1D, 0D) AS paths{j}" for j in lanes],
-            "0L AS level",
-        ),
-        frontier=F.count(F.lit(1)),
-    )
-    at_level = " OR ".join(f"dist{j} = level" for j in lanes)
 
-    def send(rows: DataFrame, value: str) -> DataFrame:
-        """Sum over the neighbours of ``value`` where a lane stands at the current level."""
+    def gather(rows: DataFrame, value: str) -> DataFrame:
+        """Sum over the neighbours of ``value`` where a lane has paths."""
         return (
-            rows.filter(at_level)
-            .selectExpr(*key, "level", *[f"IF(dist{j} = level, {value.format(j=j)}, 0D) AS out{j}" for j in lanes])
+            rows.selectExpr(*key, *[f"IF(p{j} > 0, {value.format(j=j)}, 0D) AS in{j}" for j in lanes])
             .join(arcs, ["release", "node"])
             .groupBy("release", "lane", F.col("other").alias("node"))
-            .agg(F.max("level").alias("from_level"), *[F.sum(f"out{j}").alias(f"in{j}") for j in lanes])
+            .agg(*[F.sum(f"in{j}").alias(f"in{j}") for j in lanes])
         )
 
-    depth = -1
-    while seen["frontier"]:
-        depth += 1
-        rows = state.join(send(state, "paths{j}"), key, "full").selectExpr(
-            *key,
-            "coalesce(level, from_level) + 1 AS level",
-            *[f"coalesce(dist{j}, -1L) AS dist{j}" for j in lanes],
-            *[f"coalesce(paths{j}, 0D) AS paths{j}" for j in lanes],
-            *[f"coalesce(in{j}, 0D) AS in{j}" for j in lanes],
-        )
-        state, seen = materialize_with(
-            rows.selectExpr(
-                *key,
-                "level",
-                *[f"IF(dist{j} < 0 AND in{j} > 0, level, dist{j}) AS dist{j}" for j in lanes],
-                *[f"IF(dist{j} < 0 AND in{j} > 0, in{j}, paths{j}) AS paths{j}" for j in lanes],
-            ),
-            frontier=F.expr(f"count_if({at_level})"),
-        )
+    seeds = sources.selectExpr(
+        "release", f"seat div {LANES} AS lane", "node", *[f"IF(seat % {LANES} = {j}, 1D, 0D) AS p{j}" for j in lanes]
+    )
+    layer, seen = materialize_with(seeds, n=F.count(F.lit(1)))
+    layers = [layer]
+    while seen["n"]:
+        fresh = gather(layers[-1], "p{j}").selectExpr(*key, *[f"in{j} AS p{j}" for j in lanes])
+        for known in layers[-2:]:
+            old = known.selectExpr(*key, *[f"p{j} AS k{j}" for j in lanes])
+            fresh = fresh.join(old, key, "left").selectExpr(
+                *key, *[f"IF(coalesce(k{j}, 0D) > 0, 0D, p{j}) AS p{j}" for j in lanes]
+            )
+        fresh = fresh.filter(" OR ".join(f"p{j} > 0" for j in lanes))
+        layer, seen = materialize_with(fresh, n=F.count(F.lit(1)))
+        layers.append(layer)
 
-    # The last level written is empty; dependencies start one level above it.
-    state = state.selectExpr(
-        *key,
-        "level - 1 AS level",
-        *[f"dist{j}" for j in lanes],
-        *[f"paths{j}" for j in lanes],
-        *[f"0D AS load{j}" for j in lanes],
+    folder = scratch_path(arcs.sparkSession)
+    last = len(layers) - 1
+    loaded = materialize(
+        layers[last].selectExpr("*", *[f"0D AS t{j}" for j in lanes]), f"{folder}/level={last}"
     )
-    for _ in range(depth):
-        state = materialize(
-            state.join(send(state, "(1D + load{j}) / paths{j}"), key, "left").selectExpr(
+    for level in range(last - 1, 0, -1):
+        owed = gather(loaded, "(1D + t{j}) / p{j}")
+        loaded = materialize(
+            layers[level].join(owed, key, "left").selectExpr(
                 *key,
-                "level - 1 AS level",
-                *[f"dist{j}" for j in lanes],
-                *[f"paths{j}" for j in lanes],
-                *[f"IF(dist{j} = level - 1, paths{j} * coalesce(in{j}, 0D), load{j}) AS load{j}" for j in lanes],
-            )
+                *[f"p{j}" for j in lanes],
+                *[f"IF(p{j} > 0, p{j} * coalesce(in{j}, 0D), 0D) AS t{j}" for j in lanes],
+            ),
+            f"{folder}/level={level}",
         )
-    passed = " + ".join(f"IF(dist{j} > 0, load{j}, 0D)" for j in lanes)
-    return state.groupBy("release", "node").agg(F.expr(f"sum({passed}) AS load"))
+    total = " + ".join(f"t{j}" for j in lanes)
+    return _levels(folder, loaded).groupBy("release", "node").agg(F.expr(f"sum({total}) AS load"))

@@ -5,7 +5,6 @@ The tables take the operators' roles through ``sources.adaptors``; all queries r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from releaselens.operators import churn, evaluation, graph, intervals, links, ml
 from releaselens.operators import stats, velocity
 from releaselens.operators.ordering import gini_by_group
 from releaselens.plans import features
-from releaselens.session import configure, materialize, scratch_root
+from releaselens.session import configure, materialize, scratch_path
 from releaselens.sources import records, snapshots
 from releaselens.sources.adaptors import role
 from releaselens.sources.tables import read_table, scan_typed
@@ -63,10 +62,6 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def _fresh(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-
-
 # ---- shared inputs -------------------------------------------------------------------------------------
 
 
@@ -144,7 +139,7 @@ def _folds(prepared):
 def scan_typed_csv(spark, folder):
     """Orders written as a CSV table, read back with a declared schema and parsed instants."""
     orders = read_table(spark, folder, "orders")
-    path = _fresh(spark)
+    path = scratch_path(spark)
     orders.write.option("header", True).csv(path)
     schema = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name == "o_orderdate" else f.dataType) for f in orders.schema]
@@ -156,7 +151,7 @@ def scan_typed_csv(spark, folder):
 def latest_snapshot(spark, folder):
     """Two snapshots of the customers; the newer one is read."""
     customers = read_table(spark, folder, "customer")
-    root = _fresh(spark)
+    root = scratch_path(spark)
     snapshots.write_snapshot(customers.withColumn("c_acctbal", F.lit(0.0)), root, "customers", "20240101_000000")
     snapshots.write_snapshot(customers, root, "customers", "20240102_000000")
     return snapshots.latest_snapshot(spark, root, "customers")
@@ -227,7 +222,7 @@ def commit_log_cochanges(spark, folder):
 def ingest_orders(spark, folder):
     """Orders landed as files and ingested twice; the second run finds nothing new."""
     orders = read_table(spark, folder, "orders")
-    root = _fresh(spark)
+    root = scratch_path(spark)
     orders.repartition("o_orderpriority").write.parquet(f"{root}/landed")
     for _ in range(2):
         table = ingest_incremental(spark, f"{root}/landed", f"{root}/table", f"{root}/progress", orders.schema)

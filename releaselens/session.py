@@ -14,6 +14,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split skewed join inputs even where that costs an extra exchange for the operator above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rounds of graph searches shuffle little data but compute a lot: keep all cores busy on them.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 
@@ -38,18 +40,23 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/releaselens/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the scratch space."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and return a scan of it.
 
     Lineage ends at the written files, so a lost executor costs one task, not the whole chain, and the
     optimizer knows the real size: it broadcasts the table only while that is below its threshold.
     """
-    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+def materialize_with(df: DataFrame, path: str | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
     """``materialize`` and a few aggregate figures over the written columns they need."""
-    table = materialize(df)
+    table = materialize(df, path)
     return table, table.agg(*[c.alias(name) for name, c in metrics.items()]).first().asDict()
