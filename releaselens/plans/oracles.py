@@ -619,6 +619,16 @@ def oracle_sql() -> dict[str, str]:
                    round(avg(label) FILTER (split = 'val') * 100, 6) AS val_degraded_pct,
                    round(avg(label) FILTER (split = 'test') * 100, 6) AS test_degraded_pct,
                    'standard' AS scaling_method, 'none' AS balancing_method FROM parted""",
+        "prepared_checks": """
+            SELECT split, any_value(n) AS rows, any_value(coalesce(lo >= prior, true)) AS in_order,
+                   count(*) FILTER (abs(m) > 0.01) AS mean_off, count(*) FILTER (s < 0.9 OR s > 1.1) AS std_off,
+                   CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(infinite) AS BIGINT) AS infinite,
+                   count(*) FILTER (s = 0) AS zero_variance
+            FROM (SELECT split, feature, avg(value) AS m, stddev_samp(value) AS s, count(*) FILTER (value IS NULL) AS missing,
+                         count(*) FILTER (isinf(value)) AS infinite FROM standard_long GROUP BY ALL)
+                 JOIN (SELECT split, n, lo, lag(hi) OVER (ORDER BY lo) AS prior
+                       FROM (SELECT split, count(*) AS n, min(id) AS lo, max(id) AS hi FROM parted GROUP BY split)) USING (split)
+            GROUP BY split""",
         "undersample": """
             SELECT label, min(count(*)) OVER () AS n FROM samples GROUP BY label""",
         "smote": """
@@ -659,6 +669,13 @@ def oracle_sql() -> dict[str, str]:
 
 
 CTES |= {
+    "imputed": """
+        SELECT * REPLACE (coalesce(f_gappy, (SELECT median(f_gappy) FROM parted WHERE split = 'train')) AS f_gappy)
+        FROM parted""",
+    "standardised": _scaled("avg({0})", "stddev_pop({0})").replace("parted", "imputed").replace("SELECT id,", "SELECT id, split,"),
+    "standard_long": """
+        SELECT id, split, feature, value FROM standardised
+        UNPIVOT INCLUDE NULLS (value FOR feature IN (f_chars, f_spaces, f_dots, f_gappy, f_constant))""",
     "ordered_v": """
         SELECT release, is_degraded, CASE WHEN pos > total - CAST(floor(total * 0.15) AS BIGINT) THEN 'test'
                     WHEN pos > total - 2 * CAST(floor(total * 0.15) AS BIGINT) THEN 'val' ELSE 'train' END AS split
