@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from releaselens.llm.common import by_bytes
 from releaselens.session import materialize
 
-DIMS, FIT_ROWS, PARTS, STEPS, RATE, DECAY = 1 << 16, 20_000, 8, 60, 0.3, 3e-4
+WORDS, SHAPES = 1 << 16, 1 << 10
+DIMS, FIT_ROWS, PARTS, STEPS, RATE, DECAY = WORDS + SHAPES, 20_000, 8, 80, 0.3, 1e-4
+#: A feature is used if its documents' mean grade is so many standard errors from the mean of all.
+SURE = 3.5
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -34,7 +37,8 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = found = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (DIMS - 1)
+        code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        self[word] = found = WORDS + code % SHAPES if word[0] == "\x00" else code % WORDS
         return found
 
 
@@ -42,7 +46,7 @@ _BUCKETS = _Buckets()
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of the different words and of the text's shape, each counted once."""
+    """Buckets of the different words and of the text's shape, each counted once; shapes have buckets of their own."""
     text = text or ""
     words = _WORD.findall(text.lower())
     different = set(words)
@@ -55,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
         f"\x00n{min(12, n.bit_length())}",
         f"\x00d{10 * len(different) // n}",
         f"\x00u{10 * upper // (letters + upper)}",
-        f"\x00m{min(20, 200 * marks // size)}",
+        f"\x00m{min(40, 200 * marks // size)}",
         f"\x00l{10 * len(set(lines)) // max(1, len(lines))}",
         f"\x00w{min(20, size // n)}",
     ]
@@ -79,6 +83,27 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
+def _sure(table: DataFrame, counts: dict[int, int]) -> np.ndarray:
+    """1 for each feature whose documents differ in grade beyond chance, else 0, from one pass of fixed-size sums."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, DIMS))
+        for batch in batches:
+            xs = [np.frombuffer(b, np.int32) for b in batch.column("x").to_pylist()]
+            grade = np.repeat(batch.column("grade").to_numpy().astype(np.float64), [len(x) for x in xs])
+            idx = np.concatenate(xs)
+            out += [np.bincount(idx, None, DIMS), np.bincount(idx, grade, DIMS)]
+        yield pa.record_batch([pa.array([out.tobytes()], pa.binary())], ["s"])
+
+    parts = table.mapInArrow(sums, "s binary").collect()  # PARTS rows of fixed size
+    n, total = np.sum([np.frombuffer(bytes(r["s"])).reshape(2, DIMS) for r in parts], axis=0)
+    docs = sum(counts.values())
+    mean = sum(g * k for g, k in counts.items()) / docs
+    spread = np.sqrt(sum(k * (g - mean) ** 2 for g, k in counts.items()) / docs)
+    z = np.abs(total - n * mean) / np.maximum(spread * np.sqrt(np.maximum(n, 1)), 1e-9)
+    return (z > SURE).astype(np.float64)
+
+
 def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int = STEPS) -> Model:
     """Fit by full-batch steps with a rate of its own for each weight."""
     order = F.xxhash64("doc_id", F.lit("fit"))
@@ -98,10 +123,11 @@ def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int =
         raise ValueError("no labelled rows to fit")
     at_most = np.cumsum([counts.get(k, 0) + 0.5 for k in range(grades)])[:-1] / (total + 0.5 * grades)
     theta = np.log(at_most / (1 - at_most))
+    values = _sure(table, counts)
     w, seen_w, seen_t = np.zeros(DIMS), np.full(DIMS, 1e-8), np.full(grades - 1, 1e-8)
 
     for _ in range(steps):
-        w32, cut = w.astype(np.float32), theta.copy()
+        w32, cut = (w * values).astype(np.float32), theta.copy()
 
         def gradient(batches: Iterator[pa.RecordBatch], w32=w32, cut=cut) -> Iterator[pa.RecordBatch]:
             gw, gt, loss = np.zeros(DIMS), np.zeros(grades - 1), 0.0
@@ -124,12 +150,12 @@ def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int =
 
         parts = table.mapInArrow(gradient, "g binary").collect()  # PARTS rows of fixed size
         g = np.sum([np.frombuffer(bytes(r["g"])) for r in parts], axis=0) / total
-        gw, gt = g[:DIMS] + DECAY * w, g[DIMS:-1]
+        gw, gt = g[:DIMS] * values + DECAY * w, g[DIMS:-1]
         seen_w += gw * gw
         seen_t += gt * gt
         w = w - RATE * gw / np.sqrt(seen_w)
         theta = np.maximum.accumulate(theta - RATE * gt / np.sqrt(seen_t))
-    return Model(w.astype(np.float32), theta)
+    return Model((w * values).astype(np.float32), theta)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
