@@ -177,8 +177,9 @@ def thresholds(fine: DataFrame, lang: str, source: str) -> DataFrame:
     own = packed(fine, [lang, source], "_own")
     by_lang = merge(fine, [lang])
     langs = packed(by_lang, [lang], "_by_lang").withColumnRenamed(lang, "_l")
-    every = packed(merge(by_lang, []).withColumn("_at", F.lit(0)), ["_at"], "_every")
-    joined = own.withColumn("_zero", F.lit(0)).join(langs, own[lang].eqNullSafe(langs["_l"]))
+    # one row, joined on a key taken from data so that it stays an equi-join
+    every = packed(merge(by_lang, []).withColumn("_at", F.col("n") * 0), ["_at"], "_every")
+    joined = own.withColumn("_zero", F.col("_own._docs") * 0).join(langs, own[lang].eqNullSafe(langs["_l"]))
     joined = joined.join(every, joined["_zero"] == every["_at"])
     large = lambda c: F.when(F.col(f"{c}._docs") >= MIN_DOCS, F.col(c))
     return joined.select(lang, source, F.coalesce(large("_own"), large("_by_lang"), F.col("_every")).alias("_f"))
