@@ -32,6 +32,11 @@ def free_name(df: DataFrame | Sequence[str], name: str) -> str:
     return name
 
 
+def text_digest(text: str) -> Column:
+    """SHA-256 of a whole text, null as the empty text: what depends on the text alone is joined by it."""
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

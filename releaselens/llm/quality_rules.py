@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from releaselens.llm.common import WORD
+from releaselens.llm.common import WORD, free_name, text_digest
 from releaselens.session import materialize
 
 BITS = 7
@@ -219,5 +219,17 @@ def judge(
 
 
 def kept_rows(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns only."""
-    return judge(docs, text, lang, source).where("kept").select("doc.*")
+    """The rows of ``docs`` that the rules keep, with their own columns only.
+
+    A verdict follows from text, language and source, so rejected ones are joined by these; texts are not written.
+    """
+    d, columns = free_name(docs, "_digest"), {c: F.col(f"`{c}`") for c in (text, lang, source)}
+    plain = docs.select(
+        columns[text].alias("text"), columns[lang].alias("lang"), columns[source].alias("source"), text_digest(text).alias("d")
+    )
+    verdicts = judge(plain, keep=["d", "lang", "source"]).where("not kept")
+    bad = verdicts.select(*[F.col(f"doc.{c}").alias(f"_bad_{c}") for c in ("d", "lang", "source")]).distinct()
+    rows = docs.withColumn(d, text_digest(text))
+    same = (F.col(f"`{d}`") == F.col("_bad_d")) & columns[lang].eqNullSafe(F.col("_bad_lang"))
+    same = same & columns[source].eqNullSafe(F.col("_bad_source"))
+    return rows.join(bad, same, "left_anti").drop(d)

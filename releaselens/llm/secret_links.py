@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from releaselens.llm.common import by_bytes, free_name, spark_type
+from releaselens.llm.common import by_bytes, free_name, spark_type, text_digest
 from releaselens.session import materialize
 
 #: Code points between two parts of one credential.
@@ -166,12 +166,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; rows without one are unchanged."""
-    row, spans = free_name(docs, "_row"), free_name(docs, "_spans")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    narrow = rows.select(F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
-    found = scan(narrow).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans))
-    met = rows.join(found, row, "left")
+    """``docs`` with every span replaced by ``mask``; rows without one are unchanged. Spans are joined by text digest."""
+    d, spans = free_name(docs, "_digest"), free_name(docs, "_spans")
+    narrow = docs.select(text_digest(text).alias("d"), F.col(f"`{text}`").alias("text"))
+    found = scan(narrow).where(F.size("spans") > 0).dropDuplicates(["d"])
+    found = found.select(F.col("d").alias("_found_d"), F.col("spans").alias(spans))
+    met = docs.withColumn(d, text_digest(text)).join(found, F.col(f"`{d}`") == F.col("_found_d"), "left")
     # Overlapping spans count as one: pieces of text between their running ends.
     state = F.aggregate(
         F.col(spans),

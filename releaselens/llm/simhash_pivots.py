@@ -23,10 +23,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from releaselens.llm.common import by_bytes, free_name, text_bytes
+from releaselens.llm.common import by_bytes, free_name, text_bytes, text_digest
 from releaselens.session import materialize, materialize_with
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -230,12 +230,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: one of each component stays, the least id and first row."""
-    row = free_name(docs, "_row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    narrow = rows.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """The rows of ``docs`` without near duplicates: one of each component stays, the least id (nulls last).
+
+    The row that stays is found by id and text digest, so texts move once and are not written; of rows that agree in
+    both, the one with the least hash of all columns stays.
+    """
+    d, nth = free_name(docs, "_digest"), free_name(docs, "_nth")
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_digest(text).alias("d"), F.col(f"`{text}`").alias("text"))
     table = materialize(fingerprints(narrow))
-    found = table.join(grouped(table), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
-    stay = found.groupBy("root").agg(first.alias(row)).select(row)
-    return rows.join(stay, row, "left_semi").drop(row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d"))
+    stay = table.join(grouped(table), "fp").groupBy("root").agg(first.alias("s"))
+    stay = stay.select(F.col("s.doc_id").alias("_stay_id"), F.col("s.d").alias("_stay_d"))
+    rows = docs.withColumn(d, text_digest(text))
+    same = (F.col(f"`{d}`") == F.col("_stay_d")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_stay_id"))
+    alike = Window.partitionBy(d, doc_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    met = rows.join(stay, same, "left_semi").withColumn(nth, F.row_number().over(alike))
+    return met.where(F.col(f"`{nth}`") == 1).drop(d, nth)
