@@ -232,19 +232,18 @@ def closeness_of(
     return counts.select("release").join(mean, "release", "left").fillna(0.0, subset=["avg_closeness"])
 
 
-def graph_betweenness(nodes: DataFrame, edges: DataFrame, max_sources: int = 100, seed: int = 42) -> DataFrame:
-    """Largest normalised betweenness centrality.
-
-    Graphs with more than ``max_sources`` nodes are estimated from that many seeded sources and scaled up,
-    smaller ones are exact.
-    """
+def graph_betweenness(nodes: DataFrame, edges: DataFrame, max_sources: int | None = None, seed: int = 42) -> DataFrame:
+    """Largest normalised betweenness centrality: exact, or on request from that many seeded sources, scaled up."""
     counts = materialize(nodes.groupBy("release").agg(F.count(F.lit(1)).alias("n")))
     drawn = nodes.select(*KEY, F.xxhash64("node", F.lit(seed)).alias("draw"))
-    seats = with_position(drawn, ["draw", "node"], ["release"]).filter(F.col("pos") <= max_sources)
+    seats = with_position(drawn, ["draw", "node"], ["release"])
+    if max_sources is not None:
+        seats = seats.filter(F.col("pos") <= max_sources)
     sources = seats.select(*KEY, (F.col("pos") - 1).cast("int").alias("seat"))
     loads = shortest_path_loads(adjacency(edges), sources)
     n = F.col("n")
-    share = S.ratio(F.col("load"), (n - 1) * (n - 2)) * S.ratio(n, F.least(n, F.lit(max_sources)))
+    used = n if max_sources is None else F.least(n, F.lit(max_sources))
+    share = S.ratio(F.col("load"), (n - 1) * (n - 2)) * S.ratio(n, used)
     most = loads.join(counts, "release").groupBy("release").agg(F.max(share).alias("max_betweenness"))
     return counts.select("release").join(most, "release", "left").fillna(0.0, subset=["max_betweenness"])
 

@@ -167,7 +167,15 @@ def smote(
     rows = df.select(
         F.col(id).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in cols], label
     )
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    gap = F.lit(False)
+    for c in cols:
+        gap = gap | F.col(c).isNull() | F.isnan(c)
+    found = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps")).limit(3).collect()
+    if any(r["gaps"] for r in found):
+        raise ValueError("features must not be NULL or NaN: neighbours of such rows are undefined; fill them first")
+    if len(found) > 2:
+        raise ValueError(f"{label} must have two classes")
+    counts = {r[label]: r["n"] for r in found}
     rare, few = min(counts.items(), key=lambda item: (item[1], item[0]))
     missing = max(counts.values()) - few
     kept = rows.withColumn("synthetic", F.lit(False))

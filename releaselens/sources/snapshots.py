@@ -6,7 +6,7 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from releaselens.sources.tables import utc_timestamps
+from releaselens.sources.tables import CSV, utc_timestamps
 
 
 def write_snapshot(df: DataFrame, root: str, kind: str, ts: str, fmt: str = "parquet") -> str:
@@ -16,7 +16,7 @@ def write_snapshot(df: DataFrame, root: str, kind: str, ts: str, fmt: str = "par
         df.withColumn("snapshot_ts", F.lit(ts))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("header", True)
+        .options(**(CSV if fmt == "csv" else {}))
         .partitionBy("snapshot_ts")
         .format(fmt)
         .save(path)
@@ -26,7 +26,7 @@ def write_snapshot(df: DataFrame, root: str, kind: str, ts: str, fmt: str = "par
 
 def latest_snapshot(spark: SparkSession, root: str, kind: str, fmt: str = "parquet") -> DataFrame:
     """Newest snapshot of a kind by its timestamp; only that partition is scanned."""
-    table = spark.read.option("header", True).format(fmt).load(f"{root}/{kind}")
+    table = spark.read.options(**(CSV | {"multiLine": True} if fmt == "csv" else {})).format(fmt).load(f"{root}/{kind}")
     newest = table.agg(F.max("snapshot_ts")).first()[0]
     return utc_timestamps(table.filter(F.col("snapshot_ts") == F.lit(newest)).drop("snapshot_ts"))
 

@@ -14,6 +14,9 @@ ISSUES = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("type", "fix_versions", "assignee", "reporter")]
 )
 
+#: Quoting of written and read CSV: quotes inside a cell are doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
 
 def utc_timestamps(df: DataFrame) -> DataFrame:
     """Turn zone-less timestamps into instants of the session zone (UTC)."""
@@ -28,14 +31,19 @@ def scan_typed(
     ts_cols: Sequence[str] = (),
     required: bool = True,
     fmt: str = "csv",
+    multi_line: bool = True,
 ) -> DataFrame | None:
     """Read a table with a declared schema and parse ``ts_cols``; unparsable instants become NULL.
 
-    A missing table raises when ``required``, else the result is None.
+    A missing table raises when ``required``, else the result is None. CSV cells may hold quotes and, with
+    ``multi_line``, line breaks; such files are read by one task each, so large tables belong in Parquet.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     try:
-        df = reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
+        if fmt == "csv":
+            df = reader.options(**CSV, multiLine=multi_line).csv(path)
+        else:
+            df = reader.format(fmt).load(path)
     except AnalysisException as error:
         if required or error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -220,3 +220,20 @@ def test_sweep_scores_every_model_and_variant(spark):
     ).collect()
     assert [(r["variant"], r["n_features"]) for r in board] == [("A", 1), ("B", 1)]
     assert board[0]["test_f1"] == 1.0 and board[0]["cv_f1_mean"] > 0.9
+
+
+def test_smote_refuses_gaps(spark):
+    from releaselens.operators.neighbors import smote
+
+    df = spark.createDataFrame([(i, float(i) if i else None, int(i < 4)) for i in range(20)], "id long, x double, label int")
+    with pytest.raises(ValueError):
+        smote(df, ["x"])
+
+
+def test_no_verdict_without_evidence(spark):
+    from releaselens.operators.stats import hypothesis_verdicts
+
+    df = spark.createDataFrame(
+        [("H2", "churn_concentration", 0.5, 0.01)], "hypothesis string, feature string, spearman_r double, p_value double"
+    )
+    assert tuple(hypothesis_verdicts(df).first()) == (None, True)

@@ -136,3 +136,17 @@ def test_ingest_adds_only_new_files(spark, tmp_path):
     assert ingest_incremental(spark, src, dst, progress, schema).count() == 10
     spark.range(5).write.mode("append").parquet(src)
     assert ingest_incremental(spark, src, dst, progress, schema, max_files=1).count() == 15
+
+
+def test_csv_cells_keep_quotes_and_line_breaks(spark, tmp_path):
+    from releaselens.sources.snapshots import latest_snapshot, write_snapshot
+    from releaselens.sources.tables import CSV, scan_typed
+
+    rows = [("a", "two\nlines"), ("b", 'say "hi", ok'), ("c", "plain")]
+    df = spark.createDataFrame(rows, "key string, msg string")
+    df.write.options(**CSV).csv(f"{tmp_path}/t")
+    back = scan_typed(spark, f"{tmp_path}/t", df.schema)
+    assert sorted(map(tuple, back.collect())) == rows
+    write_snapshot(df, str(tmp_path), "kind", "20260101_000000", fmt="csv")
+    again = latest_snapshot(spark, str(tmp_path), "kind", fmt="csv")
+    assert sorted(map(tuple, again.select("key", "msg").collect())) == rows

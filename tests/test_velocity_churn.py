@@ -95,7 +95,7 @@ def test_churn_profile_by_hand(spark):
     assert (r["total_commits"], r["total_churn"], r["unique_developers"]) == (4, 143, 2)
     assert r["refactoring_ratio"] == 0.25 and r["file_hotspots"] == 1 and r["avg_files_per_commit"] == 2.0
     assert r["developer_churn_inequality"] == pytest.approx(0.0)
-    assert r["churn_volatility"] == pytest.approx(43.97347382, rel=1e-6)
+    assert r["churn_volatility"] == pytest.approx(46.285346853, rel=1e-6)
     for empty in ("none", "open"):
         assert rows[empty]["total_commits"] == 0 and rows[empty]["churn_volatility"] == 0
         assert rows[empty]["unique_developers"] is None and rows[empty]["avg_files_per_commit"] is None
@@ -127,3 +127,16 @@ def test_links_keep_unknown_keys_and_coverage_counts(spark):
     per_release = {r["release"]: r for r in links.release_metrics(links.issue_metrics(made)).collect()}
     # The empty item after the last comma stays a release of its own here.
     assert sorted(per_release) == ["", "1.0"] and per_release["1.0"]["total_developers"] == 2
+
+
+def test_null_author_is_no_developer(spark):
+    releases = spark.createDataFrame(
+        [("r", day(0), day(5))], "release string, start_date timestamp, end_date timestamp"
+    )
+    names = ["a"] * 3 + ["b"] * 3 + [None]
+    commits = spark.createDataFrame(
+        [(n, day(i % 4), 10, 5, 1) for i, n in enumerate(names)],
+        "author_name string, date timestamp, insertions bigint, deletions bigint, num_files bigint",
+    ).withColumn("churn", F.col("insertions") + F.col("deletions"))
+    r = churn.churn_profile(commits, releases).first()
+    assert r["unique_developers"] == 2 and r["developer_churn_inequality"] == pytest.approx(0.0)
