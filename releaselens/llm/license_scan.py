@@ -91,7 +91,11 @@ def _base_places(w: Column) -> Column:
             return F.when(ok, i)
 
         at = F.filter(F.transform(w, here), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
+        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
+        held = F.lit(True)  # a text without one of the words needs no look at each place
+        for word in sorted(set(phrase.split()), key=len, reverse=True):
+            held = held & F.array_contains(w, word)
+        return F.when(held, found).otherwise(F.array().cast("array<struct<at:int,label:string>>"))
 
     found = [places(phrase, label) for phrase, label in BASE.items()]
     return F.array_sort(F.concat(*found))
