@@ -335,9 +335,12 @@ NETWORK_COLUMNS = (
 
 
 def network_measures(
-    nodes: DataFrame, edges: DataFrame, releases: DataFrame, max_sources: int = 100, seed: int = 42
+    nodes: DataFrame, edges: DataFrame, releases: DataFrame, max_sources: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """All 17 graph measures per release of ``releases`` (release, idx); empty graphs measure 0."""
+    """All 17 graph measures per release of ``releases`` (release, idx); empty graphs measure 0.
+
+    Betweenness is exact, whatever the graphs' sizes, unless ``max_sources`` asks for an estimate.
+    """
     labels = component_labels(nodes, edges)
     parts = [
         graph_basic(nodes, edges),

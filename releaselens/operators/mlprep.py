@@ -186,9 +186,9 @@ def cv_folds(train: DataFrame, order: Sequence[Column | str], k: int = 5) -> Dat
 
 
 def undersample(df: DataFrame, label: str = "label", seed: int = 42, id: str = "id") -> DataFrame:
-    """Keep as many rows of every class as the smallest class has, in seeded hash order."""
+    """Keep as many rows of every class as the smallest class has, in the order of md5 of id and seed."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"))
-    drawn = with_position(df.withColumn("_draw", F.xxhash64(id, F.lit(seed))), ["_draw", id], [label], "_pos")
+    drawn = with_position(df.withColumn("_draw", F.md5(F.concat(F.col(id).cast("string"), F.lit(f":{seed}")))), ["_draw", id], [label], "_pos")
     return drawn.filter(F.col("_pos") <= least.scalar()).select(*df.columns)
 
 

@@ -69,6 +69,11 @@ def _commits(spark, folder):
     return records.commit_projection(role(spark, folder, "commits"), KEY_PATTERN)
 
 
+def _measured_commits(spark, folder):
+    """The commit columns that churn needs, written once for its passes."""
+    return materialize(_commits(spark, folder).select(*churn.INPUT_COLUMNS))
+
+
 def _links(spark, folder):
     return links.commit_issue_links(_commits(spark, folder), role(spark, folder, "issues"))
 
@@ -90,14 +95,29 @@ def _graphs(spark, folder):
 
 
 def _profile(spark, folder):
-    return churn.churn_profile(materialize(_commits(spark, folder)), _velocity(spark, folder))
+    return churn.churn_profile(_measured_commits(spark, folder), _velocity(spark, folder))
+
+
+def _feature_table(spark, folder):
+    return features.release_features(
+        role(spark, folder, "issues"), _measured_commits(spark, folder), _code_touches(spark, folder)
+    )
+
+
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
+
+
+def forget() -> None:
+    """Let the next query build its feature table anew."""
+    _FRAMES.clear()
 
 
 def _release_frame(spark, folder):
-    """Velocity and churn columns per release, gaps as 0."""
-    vel = _velocity(spark, folder)
-    rows = vel.join(churn.churn_profile(materialize(_commits(spark, folder)), vel), "release")
-    return materialize(rows.fillna(0, subset=quality.numeric_columns(rows)).drop("num_issues"))
+    """The complete feature table (velocity, churn, network), written once for an application and folder."""
+    at = (spark.sparkContext.applicationId, folder)
+    if at not in _FRAMES:
+        _FRAMES[at] = materialize(_feature_table(spark, folder).drop("num_issues"))
+    return _FRAMES[at]
 
 
 def _release_features(frame):
@@ -492,9 +512,7 @@ def network_features(spark, folder):
 
 @query
 def feature_table(spark, folder):
-    return features.release_features(
-        role(spark, folder, "issues"), materialize(_commits(spark, folder)), _code_touches(spark, folder)
-    )
+    return _feature_table(spark, folder)
 
 
 # ---- quality and statistics ----------------------------------------------------------------------------
@@ -523,7 +541,7 @@ def validation_summary(spark, folder):
 @query
 def target_correlation(spark, folder):
     frame = _release_frame(spark, folder)
-    return quality.target_correlation(frame, "is_degraded", _release_features(frame), 5)
+    return quality.target_correlation(frame, "is_degraded", _release_features(frame))
 
 
 @query
@@ -602,7 +620,7 @@ def prepared_checks(spark, folder):
 
 @query
 def undersample(spark, folder):
-    return mlprep.undersample(_samples(spark, folder)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return mlprep.undersample(_samples(spark, folder))
 
 
 def _class_counts(rows, *extra):
@@ -706,17 +724,17 @@ def cv_f1(spark, folder):
 
 @query
 def model_sweep(spark, folder):
-    """All model families on three feature subsets, with few trees per ensemble."""
+    """All model families on three feature subsets."""
     rows = _prepared(spark, folder)
     subsets = mlprep.feature_subsets(
         ALL_SAMPLE_COLS, {"A_churn": ("f_chars", "f_gappy"), "B_network": ("f_spaces", "f_dots")}, leak=("f_constant",)
     )
-    return models.leaderboard(models.model_sweep(rows, _folds(rows), models.build_models(trees=20, rounds=5), subsets))
+    return models.leaderboard(models.model_sweep(rows, _folds(rows), models.build_models(), subsets))
 
 
 def _attribution(spark, folder):
     rows = _prepared(spark, folder)
-    scorer = models.random_forest(50).fit(rows.filter("split = 'train'"), ALL_SAMPLE_COLS, "label")
+    scorer = models.random_forest().fit(rows.filter("split = 'train'"), ALL_SAMPLE_COLS, "label")
     return models.feature_attribution(scorer, rows.filter("split <> 'val'"), ALL_SAMPLE_COLS)
 
 

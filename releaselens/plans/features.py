@@ -21,7 +21,9 @@ def release_graphs(touches: DataFrame, releases: DataFrame, window_days: int = 7
     return materialize(nodes), materialize(edges), materialize(order.select("release", "idx"))
 
 
-def network_features(touches: DataFrame, releases: DataFrame, window_days: int = 7, max_sources: int = 100) -> DataFrame:
+def network_features(
+    touches: DataFrame, releases: DataFrame, window_days: int = 7, max_sources: int | None = None
+) -> DataFrame:
     """The 17 graph measures of every release's co-commit graph."""
     return network_measures(*release_graphs(touches, releases, window_days), max_sources)
 

@@ -120,18 +120,6 @@ CTES = {name: role_text(name) for name in ROLES} | {
         LEFT JOIN (SELECT release, count(*) FILTER (churn > p) AS file_hotspots
                    FROM inside JOIN (SELECT release, quantile_cont(churn, 0.9) AS p FROM inside GROUP BY release)
                    USING (release) GROUP BY release) USING (release)""",
-    "frame": """
-        SELECT v.* EXCLUDE (num_issues) REPLACE (coalesce(prev_weighted_velocity, 0) AS prev_weighted_velocity,
-               coalesce(velocity_change, 0) AS velocity_change, coalesce(velocity_change_pct, 0) AS velocity_change_pct,
-               coalesce(velocity_per_day, 0) AS velocity_per_day, coalesce(duration_days, 0) AS duration_days),
-               p.* EXCLUDE (release) REPLACE (coalesce(unique_developers, 0) AS unique_developers,
-               coalesce(avg_files_per_commit, 0) AS avg_files_per_commit)
-        FROM velocity v JOIN profile p USING (release)""",
-    "frame_long": """
-        SELECT release, feature, value FROM (
-          UNPIVOT (SELECT release, is_degraded, CAST(COLUMNS(* EXCLUDE
-            (release, start_date, end_date, earliest_issue_created, is_degraded)) AS DOUBLE) FROM frame)
-          ON COLUMNS(* EXCLUDE (release, is_degraded)) INTO NAME feature VALUE value)""",
     "sample_long": """
         SELECT id, label, feature, value FROM samples
         UNPIVOT INCLUDE NULLS (value FOR feature IN (f_chars, f_spaces, f_dots, f_gappy, f_constant))""",
@@ -241,6 +229,22 @@ CTES = {name: role_text(name) for name in ROLES} | {
         FROM velocity LEFT JOIN basic USING (release) LEFT JOIN clustering USING (release)
              LEFT JOIN diameters USING (release) LEFT JOIN components USING (release) LEFT JOIN degree USING (release)
              LEFT JOIN betweenness USING (release) LEFT JOIN closeness USING (release) LEFT JOIN change USING (release)""",
+    "complete": """
+        SELECT v.* REPLACE (coalesce(prev_weighted_velocity, 0) AS prev_weighted_velocity,
+               coalesce(velocity_change, 0) AS velocity_change, coalesce(velocity_change_pct, 0) AS velocity_change_pct,
+               coalesce(velocity_per_day, 0) AS velocity_per_day, coalesce(duration_days, 0) AS duration_days),
+               p.* EXCLUDE (release) REPLACE (coalesce(unique_developers, 0) AS unique_developers,
+               coalesce(avg_files_per_commit, 0) AS avg_files_per_commit), w.* EXCLUDE (release),
+               total_commits / nullif(duration_days, 0) AS commits_per_day,
+               CASE WHEN unique_developers > 0 THEN total_churn / CAST(unique_developers AS DOUBLE) ELSE 0 END AS churn_per_developer,
+               CASE WHEN num_nodes > 0 THEN num_edges / CAST(num_nodes AS DOUBLE) ELSE 0 END AS edges_per_node
+        FROM velocity v JOIN profile p USING (release) JOIN network w USING (release)""",
+    "frame": "SELECT * EXCLUDE (num_issues) FROM complete",
+    "frame_long": """
+        SELECT release, feature, value FROM (
+          UNPIVOT (SELECT release, is_degraded, CAST(COLUMNS(* EXCLUDE
+            (release, start_date, end_date, earliest_issue_created, is_degraded)) AS DOUBLE) FROM frame)
+          ON COLUMNS(* EXCLUDE (release, is_degraded)) INTO NAME feature VALUE value)""",
     "placed": "SELECT *, row_number() OVER (ORDER BY id) AS pos, count(*) OVER () AS total FROM samples",
     "parted": """
         SELECT *, CASE WHEN pos > total - CAST(floor(total * 0.15) AS BIGINT) THEN 'test'
@@ -357,12 +361,12 @@ SAMPLE_SCALED = ("f_chars", "f_spaces", "f_dots", "f_gappy", "f_constant")
 
 
 def _ranked(source: str, y: str) -> str:
-    """Spearman's r: Pearson over average ranks, missing features as 0."""
+    """Spearman's r: Pearson over average ranks of values to nine digits, missing features as 0."""
     return f"""
         SELECT feature, count(*) AS n, round({CORR}, 6) + 0.0 AS spearman_r FROM (
           SELECT feature, rank() OVER (PARTITION BY feature ORDER BY f) + (count(*) OVER (PARTITION BY feature, f) - 1) / 2.0 AS x,
                  rank() OVER (PARTITION BY feature ORDER BY {y}) + (count(*) OVER (PARTITION BY feature, {y}) - 1) / 2.0 AS y
-          FROM (SELECT feature, coalesce(value, 0) AS f, {y} FROM {source})) GROUP BY feature"""
+          FROM (SELECT feature, round(coalesce(value, 0), 9) + 0.0 AS f, {y} FROM {source})) GROUP BY feature"""
 
 
 def _scaled(center: str, spread: str) -> str:
@@ -437,7 +441,8 @@ def oracle_sql() -> dict[str, str]:
                    round(deletions / nullif(CAST(insertions - 10 AS DOUBLE), 0), 6) + 0.0 AS unguarded
             FROM commits""",
         "feature_select": f"""
-            SELECT {_r('weighted_velocity', 'duration_days', 'velocity_change_pct', 'velocity_per_day', *PROFILE_FLOATS,
+            SELECT {_r('weighted_velocity', 'duration_days', 'velocity_change_pct', 'velocity_per_day', *PROFILE_FLOATS, *NETWORK_FLOATS,
+                       'commits_per_day', 'churn_per_developer', 'edges_per_node',
                        star='* EXCLUDE (start_date, end_date, earliest_issue_created, is_degraded, velocity_change, prev_weighted_velocity)')}
             FROM frame""",
         "feature_groups": f"""
@@ -553,15 +558,7 @@ def oracle_sql() -> dict[str, str]:
         "feature_table": f"""
             SELECT {_r(*VELOCITY_FLOATS, *PROFILE_FLOATS, *NETWORK_FLOATS, 'commits_per_day', 'churn_per_developer',
                        'edges_per_node', stamps=VELOCITY_STAMPS)}
-            FROM (SELECT v.* REPLACE (coalesce(prev_weighted_velocity, 0) AS prev_weighted_velocity,
-                         coalesce(velocity_change, 0) AS velocity_change, coalesce(velocity_change_pct, 0) AS velocity_change_pct,
-                         coalesce(velocity_per_day, 0) AS velocity_per_day, coalesce(duration_days, 0) AS duration_days),
-                         p.* EXCLUDE (release) REPLACE (coalesce(unique_developers, 0) AS unique_developers,
-                         coalesce(avg_files_per_commit, 0) AS avg_files_per_commit), w.* EXCLUDE (release),
-                         total_commits / nullif(duration_days, 0) AS commits_per_day,
-                         CASE WHEN unique_developers > 0 THEN total_churn / CAST(unique_developers AS DOUBLE) ELSE 0 END AS churn_per_developer,
-                         CASE WHEN num_nodes > 0 THEN num_edges / CAST(num_nodes AS DOUBLE) ELSE 0 END AS edges_per_node
-                  FROM velocity v JOIN profile p USING (release) JOIN network w USING (release))""",
+            FROM complete""",
         "describe_features": _describe("sample_long"),
         "describe_commits": _describe(
             """(UNPIVOT (SELECT CAST(insertions AS DOUBLE) AS insertions, CAST(deletions AS DOUBLE) AS deletions,
@@ -590,8 +587,8 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT feature, c, unnest(['top', 'bottom']) AS side
                   FROM (SELECT feature, {CORR} AS c FROM (SELECT feature, value AS x, is_degraded AS y
                         FROM frame_long JOIN frame USING (release)) GROUP BY feature) WHERE c IS NOT NULL)
-            QUALIFY (side = 'top' AND row_number() OVER (PARTITION BY side ORDER BY round(c, 12) DESC, feature) <= 5)
-                 OR (side = 'bottom' AND row_number() OVER (PARTITION BY side ORDER BY round(c, 12), feature) <= 5)""",
+            QUALIFY (side = 'top' AND row_number() OVER (PARTITION BY side ORDER BY round(c, 12) DESC, feature) <= 10)
+                 OR (side = 'bottom' AND row_number() OVER (PARTITION BY side ORDER BY round(c, 12), feature) <= 10)""",
         "high_corr_pairs": f"""
             SELECT col1, col2, round({CORR}, 6) + 0.0 AS corr
             FROM (SELECT l.feature AS col1, r.feature AS col2, l.value AS x, r.value AS y
@@ -629,8 +626,11 @@ def oracle_sql() -> dict[str, str]:
                  JOIN (SELECT split, n, lo, lag(hi) OVER (ORDER BY lo) AS prior
                        FROM (SELECT split, count(*) AS n, min(id) AS lo, max(id) AS hi FROM parted GROUP BY split)) USING (split)
             GROUP BY split""",
-        "undersample": """
-            SELECT label, min(count(*)) OVER () AS n FROM samples GROUP BY label""",
+        "undersample": f"""
+            SELECT id, label, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in SAMPLE_SCALED)}
+            FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(id, ':', 42)), id) AS place,
+                         (SELECT min(n) FROM (SELECT count(*) AS n FROM samples GROUP BY label)) AS least FROM samples)
+            WHERE place <= least""",
         "smote": """
             SELECT label, synthetic, n FROM (
               SELECT label, false AS synthetic, count(*) AS n FROM samples GROUP BY label
