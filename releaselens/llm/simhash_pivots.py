@@ -10,6 +10,8 @@ remaining references are random and discard inside a bucket. A bucket above ``HO
 blocks of its free bits, by the same argument, until none is larger: exact, with no cap. Buckets return a spanning
 forest of their links, never all pairs. Exact copies of a fingerprint are one row from the start.
 
+``keep_one``, the stage of the pipeline, is not bound to those ``BITS``: it links by the similarity of five-word shingles.
+
 Links become components in rounds of written tables (least label of the neighbours, then of the label's label).
 
 Null and wordless texts have fingerprint zero and link like any other. Equal and null ids keep a row each; a group
@@ -18,6 +20,7 @@ whose ids are all null has a null component. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -26,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from releaselens.llm.common import by_bytes, free_name, text_bytes, text_digest
+from releaselens.llm.common import by_bytes, free_name, spark_type, text_bytes, text_digest
 from releaselens.session import materialize, materialize_with
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Sizes of the blocks, random references, and the fingerprints of one bucket that are searched at once.
 BLOCKS, PIVOTS, HOT = (11, 11, 11, 11, 10, 10), 32, 2048
+#: For ``keep_one``: words of a shingle, least similarity (a fraction), least values in a band, bands, rounds of stars, and
+#: members of the largest bucket from which all pairs are compared at once.
+NEAR, ALIKE, ROWS, BANDS, STARS, FEW = 5, (4, 5), 5, 30, 3, 64
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -229,18 +235,161 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class _Hashes(dict):
+    """64-bit hash of each word, kept in a bounded table."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_HASHES = _Hashes()
+_P, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _M1
+    h = (h ^ (h >> np.uint64(27))) * _M2
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles_of(text: bytes) -> np.ndarray:
+    """Hashes of the different shingles of ``NEAR`` words, ascending; one shingle for a text of fewer words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    size = min(NEAR, len(w))
+    h = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * _P + w[k : len(w) - size + 1 + k]
+    return np.unique(_mixed(h))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band: the least values of its ``ROWS`` orders of the shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[at : at + 512, None] * _FACTORS).min(0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * _P + column)
+    return key
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``d``, a digest of the set of shingles, its size and its band keys; the text itself is dropped."""
+    schema = docs.drop("text").schema.add("own", "binary").add("n", "long").add("keys", spark_type("array<long>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 32 << 20):
+            own, n, keys = [], [], []
+            for t in text_bytes(batch.column("text")):
+                found = shingles_of(t)
+                own.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                n.append(len(found))
+                keys.append(band_keys(found).view("<i8"))
+            last = [pa.array(own, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [batch.column("doc_id"), batch.column("d"), *last]
+            yield pa.record_batch(columns, ["doc_id", "d", "own", "n", "keys"])
+
+    return docs.select("doc_id", "d", "text").mapInArrow(run, schema)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``id`` and its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 16 << 20):
+            found = [shingles_of(t).view("<i8") for t in text_bytes(batch.column("text"))]
+            yield pa.record_batch([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets have a similarity of ``ALIKE`` or more, by all their shingles."""
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
+    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    up, down = ALIKE
+    alike = both * (up + down) >= (F.size("_a") + F.size("_b")) * up
+    return pairs.select("a", "b").join(b, "b").join(a, "a").where(alike).select("a", "b")
+
+
+def similar_components(members: DataFrame, sets: DataFrame, stars: int = STARS) -> DataFrame:
+    """``node``, ``root`` of all sets that verified links join, from ``key``, ``id``, ``n`` of buckets of two or more.
+
+    A bucket is compared as stars of one member with those not yet joined to it, and last by all pairs across what is
+    still apart: no pair of a bucket is left unjoined unless it was compared or a chain of links joins it.
+    """
+    up, down = ALIKE
+    labels = members.sparkSession.createDataFrame([], "node long, root long")
+    checked = linked = members.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(stars + 1):
+        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        now = now.select("key", "id", "n", F.coalesce("root", "id").alias("label"))
+        chance = F.xxhash64("id", F.lit(turn))
+        lead = [F.min_by(c, chance).alias(f"lead_{c}") for c in ("id", "n", "label")]
+        apart = now.groupBy("key").agg(F.count("*").alias("size"), F.countDistinct("label").alias("labels"), *lead)
+        # the one pair of a bucket of two is compared in the first turn
+        apart = apart.where((F.col("labels") > 1) & (F.col("size") > (2 if turn else 1))).drop("labels")
+        apart, left = materialize_with(apart, n=F.count("*"), most=F.max("size"))
+        if not left["n"]:
+            break
+        now = materialize(now.join(apart.drop("size"), "key"))
+        last = turn == stars or (turn and left["most"] <= FEW)
+        members = now.select("key", "id", "n")
+        if last:
+            other = now.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("id", "n", "label")])
+            now = now.drop("lead_id", "lead_n", "lead_label").join(other, "key").where("label < lead_label")
+        near = F.least("n", "lead_n") * down >= F.greatest("n", "lead_n") * up
+        pairs = now.where((F.col("label") != F.col("lead_label")) & near)
+        pairs = pairs.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
+        pairs, size = materialize_with(pairs.join(checked, ["a", "b"], "left_anti"), n=F.count("*"))
+        if size["n"]:
+            checked = checked.unionByName(pairs)
+            linked = linked.unionByName(materialize(_similar(pairs, sets)))
+            labels = components(linked)
+        if last:
+            break
+    return labels
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without near duplicates: one of each component stays, the least id (nulls last).
 
+    Near duplicates have a similarity of ``ALIKE`` or more between their sets of shingles of ``NEAR`` words. Equal sets are
+    one from the start; others meet by several fingerprints a document (``BANDS`` keys of ``ROWS`` least values each), of
+    which a pair at a similarity of 0.8 shares none with a chance of 7 in a million, and are linked only if all their
+    shingles confirm it.
+
     The row that stays is found by id and text digest, so texts move once and are not written; of rows that agree in
     both, the one with the least hash of all columns stays.
     """
     d, nth = free_name(docs, "_digest"), free_name(docs, "_nth")
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_digest(text).alias("d"), F.col(f"`{text}`").alias("text"))
-    table = materialize(fingerprints(narrow))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d"))
-    stay = table.join(grouped(table), "fp").groupBy("root").agg(first.alias("s"))
-    stay = stay.select(F.col("s.doc_id").alias("_stay_id"), F.col("s.d").alias("_stay_d"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d")).alias("s")
+    nodes = _sketches(narrow).groupBy("own").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
+    keyed = materialize(nodes.select("id", "n", F.explode("keys").alias("key")))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    members = materialize(keyed.join(shared, "key"))
+    wanted = nodes.join(members.select("id").distinct(), "id")
+    wanted = wanted.select("id", F.col("s.doc_id").alias("_id"), F.col("s.d").alias("_d"))
+    texts = narrow.join(wanted, (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = materialize(_sets(texts).dropDuplicates(["id"]))
+    labels = similar_components(members, sets)
+    found = nodes.select("id", "s").join(labels, F.col("id") == F.col("node"), "left")
+    stay = found.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("s").alias("s"))
+    stay = materialize(stay.select(F.col("s.doc_id").alias("_stay_id"), F.col("s.d").alias("_stay_d")))
     rows = docs.withColumn(d, text_digest(text))
     same = (F.col(f"`{d}`") == F.col("_stay_d")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_stay_id"))
     alike = Window.partitionBy(d, doc_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))

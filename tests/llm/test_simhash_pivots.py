@@ -87,3 +87,47 @@ def test_keep_one_row_of_each_group(table):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [5, 8, 9]
     assert p.keep_one(df.limit(0)).count() == 0
     assert p.near_duplicates(df.limit(0)).count() == 0
+
+
+def brute_survivors(ids, texts):
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) * 5 >= len(a | b) * 4:
+                root[find(i)] = find(j)
+                links += a != b
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return set(least.values()), links
+
+
+@pytest.mark.parametrize("stars", [0, p.STARS])
+def test_keep_one_against_brute_force_jaccard(table, monkeypatch, stars):
+    rng = random.Random(5)
+    texts = [None, "", "a", "a", "a b c d", "a b c d e"]
+    for _ in range(40):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(30, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(8)):  # edits of 0 to 4 per cent: similarities around 0.8, chains and near misses
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randrange(max(2, len(w) // 25))):
+                w[at] = "new"
+            texts.append(" ".join(w))
+    ids = rng.sample(range(1000), len(texts))
+    want, links = brute_survivors(ids, texts)
+    assert links > 100
+    whole = p.similar_components
+    monkeypatch.setattr(p, "similar_components", lambda m, s: whole(m, s, stars))
+    assert {r["doc_id"] for r in p.keep_one(table(texts, ids, clash=True)).collect()} == want
