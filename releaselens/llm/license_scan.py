@@ -1,9 +1,9 @@
 """Licence texts found with a positional index of rare words. DataFrame functions only.
 
 Templates are short public notices. Each of their words has postings (template, place). The inverse document
-frequency of these words is counted over all documents. A document looks up the ``RARE`` licence words of highest
-frequency-weight that it holds: every place of such a word votes, for each posting, for the shift between document and
-template. A template and shift with enough different words is a candidate, and it counts if the template's
+frequency of these words is counted over all documents. For each template on its own, a document looks up the ``RARE``
+words of that template of highest frequency-weight that it holds, so that no notice takes the places of another: every
+place of such a word votes, for each posting in the template, for the shift between document and template. A template and shift with enough different words is a candidate, and it counts if the template's
 mandatory phrases stand in the text it would cover. The work stays in the row: nothing of the texts is shuffled,
 and votes are counted by sorting, so a long text costs in proportion to its length.
 
@@ -53,7 +53,7 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license",
      ["creative commons attribution 4 0"]),
 ]
-#: Rare words looked up in a document, share of a template's own rare words that must agree on a shift, and the words of
+#: Rare words of each template looked up in a document, share of a template's own rare words that must agree on a shift, and the words of
 #: slack around the place where a template's phrases are sought.
 RARE, AGREE, SLACK = 8, 0.5, 8
 
@@ -132,7 +132,18 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     )
     # Licence words held, rarest first: places in the order of rarity sort as numbers.
     held = F.array_intersect(_literal(order), w)
-    df = df.select("*", F.slice(held, 1, RARE).alias("_rare"), _base_places(w).alias("_base"))
+    df = df.select("*", held.alias("_held"), _base_places(w).alias("_base"))
+
+    def own_rare(t: int) -> Column:
+        # without one of the words of its phrases a template cannot stand in the text
+        keys = sorted({x for key in TEMPLATES[t][2] for x in key.split()})
+        own = [x for x in order if x in TEMPLATES[t][1].split()]
+        whole = F.size(F.array_except(_literal(keys), F.col("_held"))) == 0
+        rare = F.slice(F.array_intersect(_literal(own), F.col("_held")), 1, RARE)
+        return F.when(whole, rare).otherwise(F.array().cast("array<string>"))
+
+    df = df.withColumn("_own", F.array(*[own_rare(t) for t in range(len(TEMPLATES))]))
+    df = df.withColumn("_rare", F.array_distinct(F.flatten("_own")))
     few = F.size("_rare") >= min(need)
     hits = F.filter(
         F.transform(w, lambda x, i: F.when(F.array_contains("_rare", x), F.struct(x.alias("x"), i.alias("i")))),
@@ -142,7 +153,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         F.transform(
             F.col("_hits"),
             lambda h: F.transform(
-                F.element_at(index, h["x"]),
+                F.filter(F.element_at(index, h["x"]), lambda p: F.array_contains(F.get("_own", p["t"]), h["x"])),
                 lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("shift"), h["x"].alias("x")),
             ),
         )

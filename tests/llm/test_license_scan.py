@@ -53,3 +53,17 @@ def test_long_texts_and_empty_table(table):
     rows = l.scan(table([many, many])).collect()
     assert [r["labels"] for r in rows] == ["bsd", "bsd"]
     assert l.scan(table(["a"]).limit(0)).count() == 0
+
+
+def test_several_notices_in_one_text_are_all_found(table):
+    rng = random.Random(3)
+    notices = [n for _, n, _ in l.TEMPLATES]
+    rare = " ".join(w for n in notices for w in n.split() if rng.random() < 0.3)
+    want = [({a, b}, f"{notices[a]} some words {notices[b]}") for a in range(8) for b in range(8) if a != b]
+    want.append((set(range(8)), " end ".join(notices)))
+    want += [({t}, f"{rare} {notices[t]} {rare}") for t in range(8)]
+    rows = {r["doc_id"]: r for r in l.scan(table([x for _, x in want])).select("doc_id", "labels", "score", "template_places").collect()}
+    for i, (which, _) in enumerate(want):
+        assert {l.TEMPLATES[t][0] for t in which} <= set(rows[i]["labels"].split(",")), which
+        assert len(rows[i]["template_places"]) >= len(which)
+        assert rows[i]["score"] == 1.0
