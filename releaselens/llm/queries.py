@@ -12,7 +12,10 @@ from releaselens.llm import (
     decontaminate,
     length_histogram,
     license_scan,
+    line_dedup,
     ordinal_classifier,
+    periodic_runs,
+    prefix_trie,
     quality_rules,
     secret_links,
     simhash_pivots,
@@ -87,6 +90,19 @@ def op10_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.digest(found)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.drop_recurring_lines(documents(spark, folder))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(documents(spark, folder), loop=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
