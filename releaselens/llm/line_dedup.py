@@ -65,7 +65,8 @@ def dropped_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     held = ids.groupBy("key").agg(
         F.count("*").alias("n_docs"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed")
     )
-    recurring = held.where(F.col("n_docs") >= min_docs).select("key", "least", "unnamed")
+    # written, so that the join stands between two exchanges (or a small table) and a crowded key can be split
+    recurring = materialize(held.where(F.col("n_docs") >= min_docs).select("key", "least", "unnamed"))
     first = F.when(F.col("unnamed"), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.col("least"))
     losing = keys.join(recurring, "key").where(~first)
     # equal rows hold equal lists: one of each stays
