@@ -75,5 +75,9 @@ def baseline_predictions(split: DataFrame, forecasts: DataFrame, label: str = "i
 
 
 def baseline_metrics(split: DataFrame, forecasts: DataFrame, label: str = "is_degraded") -> DataFrame:
-    """Scores of the three baselines on the validation and test splits."""
-    return classification_metrics(baseline_predictions(split, forecasts, label), ["model", "split"], "y", "pred")
+    """Scores of the three baselines on the validation and test splits.
+
+    They give no probabilities, so ``roc_auc`` is there, as for models, but NULL.
+    """
+    scores = classification_metrics(baseline_predictions(split, forecasts, label), ["model", "split"], "y", "pred")
+    return scores.withColumn("roc_auc", F.lit(None).cast("double"))

@@ -15,7 +15,8 @@ from releaselens.functions import scalars as S
 from releaselens.operators.ordering import exact_quantiles, running_totals, with_position
 from releaselens.operators.quality import by_feature, numeric_columns
 
-# Columns that are not features, and the column the label is derived from.
+# Columns that are not features, the column the label is derived from, the features of each kind and the
+# words that feature names are grouped by.
 METADATA = ("release", "start_date", "end_date")
 NOT_FEATURES = ("velocity_change", "prev_weighted_velocity")
 LEAKY = ("velocity_change_pct",)
@@ -55,6 +56,7 @@ NETWORK_CHANGE = (
     "turnover_rate",
     "edges_per_node",
 )
+KINDS = {"churn": CHURN_FEATURES, "network_change": NETWORK_CHANGE, "network_static": NETWORK_STATIC}
 FEATURE_WORDS = {
     "velocity": ("velocity", "issue", "bug", "improvement", "feature", "task"),
     "churn": ("churn", "commit", "refactor", "hotspot", "developer"),
@@ -100,10 +102,9 @@ def feature_subsets(
 def feature_groups(features: DataFrame, name: str = "feature") -> DataFrame:
     """Tag feature names with the word groups they mention (a name may be in several) and their kind."""
     col = F.col(name)
-    kinds = {"churn": CHURN_FEATURES, "network_change": NETWORK_CHANGE, "network_static": NETWORK_STATIC}
     return features.withColumns(
         {f"is_{g}": S.mentions(col, words) for g, words in FEATURE_WORDS.items()}
-        | {"kind": S.group_of(col, kinds, "velocity/context")}
+        | {"kind": S.group_of(col, KINDS, "velocity/context")}
     )
 
 
@@ -185,6 +186,38 @@ def cv_folds(train: DataFrame, order: Sequence[Column | str], k: int = 5) -> Dat
     return rows.withColumn("_r", F.explode(used)).select(*train.columns, "_r.fold", "_r.role")
 
 
+def fold_sizes(masked: DataFrame, k: int = 5) -> DataFrame:
+    """(fold, train, valid): how many rows of ``fold_masks`` each fold trains and is scored on, in one pass."""
+    folds = F.array(
+        *[
+            F.struct(
+                F.lit(fold).alias("fold"),
+                F.count_if(F.col("trains").bitwiseAND(1 << fold) != 0).alias("train"),
+                F.count_if(F.col("holds").bitwiseAND(1 << fold) != 0).alias("valid"),
+            )
+            for fold in range(1, k + 1)
+        ]
+    )
+    return masked.agg(folds.alias("folds")).select(F.inline("folds"))
+
+
+def fold_masks(split: DataFrame, order: Sequence[Column | str], k: int = 5) -> DataFrame:
+    """Add two bit masks to the rows of a temporal split: no row is copied for the folds of ``cv_folds``.
+
+    ``trains``: bit 0 for the training part, bit f for rows that train fold f. ``holds``: bit 0 for validation and test rows, bit f
+    for rows that fold f is scored on.
+    """
+    train = F.col("split") == "train"
+    rows = running_totals(split.where(train), order, before="_at", total="_n")
+    size, trains, holds = F.floor(F.col("_n") / (k + 1)), F.lit(1), F.lit(0)
+    for fold in range(1, k + 1):
+        first = F.col("_n") - (k - fold + 1) * size
+        trains += F.when(F.col("_at") < first, 1 << fold).otherwise(0)
+        holds += F.when((F.col("_at") >= first) & (F.col("_at") < first + size), 1 << fold).otherwise(0)
+    rows = rows.select(*split.columns, trains.alias("trains"), holds.alias("holds"))
+    return rows.unionByName(split.where(~train).select("*", F.lit(0).alias("trains"), F.lit(1).alias("holds")))
+
+
 def undersample(df: DataFrame, label: str = "label", seed: int = 42, id: str = "id") -> DataFrame:
     """Keep as many rows of every class as the smallest class has, in the order of md5 of id and seed."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"))

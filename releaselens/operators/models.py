@@ -1,4 +1,7 @@
-"""Classifiers on Spark ML with balanced classes, time-ordered validation and feature attribution."""
+"""Classifiers with balanced classes, time-ordered validation and feature attribution.
+
+Linear and kernel machines are Spark ML's; forests and boosted trees grow in batches (``operators.trees``).
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from releaselens.functions import scalars as S
+from releaselens.operators import trees
 from releaselens.operators.evaluation import classification_metrics, roc_auc
-from releaselens.operators.mlprep import CHURN_FEATURES, NETWORK_CHANGE, NETWORK_STATIC
+from releaselens.operators.mlprep import KINDS
 from releaselens.operators.ordering import with_position
 from releaselens.session import materialize
 
@@ -103,12 +107,37 @@ def logistic_regression(c: float = 1.0, max_iter: int = 1000) -> Classifier:
     return Classifier(stages)
 
 
-def random_forest(trees: int = 200, max_depth: int = 10, seed: int = 42) -> Classifier:
-    def stages(facts):
-        return [RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=trees,
-                                       maxDepth=max_depth, seed=seed)]
+@dataclass(frozen=True)
+class TreeClassifier:
+    """A forest or boosted trees of ``operators.trees``."""
 
-    return Classifier(stages)
+    kind: trees.Forest | trees.Boosting
+    bins: int = trees.BINS
+
+    def fit_all(self, binned: trees.Binned, fits: Sequence[trees.Fit]) -> dict[str, trees.Trees]:
+        """All models in the same jobs."""
+        return (trees.fit_forests if self.kind.bagged else trees.fit_boosted)(binned, fits, self.kind)
+
+    def fit(self, df: DataFrame, cols: Sequence[str], label: str) -> TreeScorer:
+        binned = trees.bin_rows(df, cols, label, F.lit(1), F.xxhash64(*df.columns), bins=self.bins)
+        model = self.fit_all(binned, [trees.Fit("model", tuple(range(len(cols))))])["model"]
+        return TreeScorer(model, binned.edges, tuple(cols))
+
+
+@dataclass(frozen=True)
+class TreeScorer:
+    model: trees.Trees
+    edges: list[np.ndarray]
+    cols: tuple[str, ...]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``score``, the probability of class 1, and ``pred``."""
+        out = df.withColumn("score", trees.scores_of(df.sparkSession, [self.model], self.edges, self.cols)[0])
+        return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
+
+
+def random_forest(n_trees: int = 200, max_depth: int = 10, seed: int = 42) -> TreeClassifier:
+    return TreeClassifier(trees.Forest(n_trees, max_depth, seed))
 
 
 def rbf_svm(c: float = 1.0, size: int = 128, max_iter: int = 100, seed: int = 42) -> Classifier:
@@ -127,21 +156,17 @@ def rbf_svm(c: float = 1.0, size: int = 128, max_iter: int = 100, seed: int = 42
     return Classifier(stages)
 
 
-def boosted_trees(rounds: int = 200, max_depth: int = 6, step: float = 0.3, seed: int = 42) -> Classifier:
-    def stages(facts):
-        return [GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=rounds, maxDepth=max_depth,
-                              stepSize=step, lossType="logistic", seed=seed)]
+def boosted_trees(rounds: int = 200, max_depth: int = 6, step: float = 0.3) -> TreeClassifier:
+    return TreeClassifier(trees.Boosting(rounds, max_depth, step))
 
-    return Classifier(stages, balanced=False)
 
-
-def build_models(seed: int = 42, trees: int = 200, rounds: int = 200) -> dict[str, Classifier]:
+def build_models(seed: int = 42, n_trees: int = 200, rounds: int = 200) -> dict[str, Classifier | TreeClassifier]:
     """The four model families under their result names."""
     return {
         "logistic_regression": logistic_regression(),
-        "random_forest": random_forest(trees, seed=seed),
+        "random_forest": random_forest(n_trees, seed=seed),
         "svm": rbf_svm(seed=seed),
-        "boosted_trees": boosted_trees(rounds, seed=seed),
+        "boosted_trees": boosted_trees(rounds),
     }
 
 
@@ -179,35 +204,76 @@ def cv_f1(
     return per_fold.agg(F.avg("f1").alias("cv_f1_mean"), F.stddev_pop("f1").alias("cv_f1_std"))
 
 
+def _part(fold: int) -> Column:
+    """Name of the rows that a fit is scored on: the split, or the fold."""
+    return F.col("split") if fold == 0 else F.lit(f"cv{fold}")
+
+
+def _has_bit(mask: str, bit: int) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(1 << bit)) != 0
+
+
+def _tree_predictions(
+    rows: DataFrame, models: Mapping[str, TreeClassifier], subsets: Mapping[str, Sequence[str]], label: str, folds: int
+) -> DataFrame:
+    """Scores of all tree models on all subsets and folds: fitted family by family, told in one pass over the rows."""
+    cols = sorted({c for chosen in subsets.values() for c in chosen})
+    number = {c: i for i, c in enumerate(cols)}
+    fitted, tags, binned = [], [], {}
+    for name, model in models.items():
+        if model.bins not in binned:
+            train = rows.where("trains > 0")
+            key = F.xxhash64(*rows.columns)
+            binned[model.bins] = trees.bin_rows(train, cols, label, F.col("trains"), key, folds + 1, model.bins)
+        fits = [
+            trees.Fit(f"{v}/{f}", tuple(number[c] for c in chosen), f) for v, chosen in subsets.items() for f in range(folds + 1)
+        ]
+        done = model.fit_all(binned[model.bins], fits)
+        fitted.append((model.bins, [done[f.name] for f in fits]))
+        tags += [(name, *f.name.rsplit("/", 1)) for f in fits]
+    told = [trees.scores_of(rows.sparkSession, models_, binned[bins].edges, cols) for bins, models_ in fitted]
+    tag = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("variant"), F.lit(int(f)).alias("fold")) for m, v, f in tags])
+    each = rows.where("holds > 0").withColumn("_told", F.arrays_zip(tag.alias("tag"), F.concat(*told).alias("score")))
+    each = each.withColumn("_one", F.explode("_told"))
+    fold, score = F.col("_one.tag.fold"), F.col("_one.score")
+    each = each.where(F.expr("holds & shiftleft(1, _one.tag.fold)") != 0)
+    part = F.when(fold == 0, F.col("split")).otherwise(F.concat(F.lit("cv"), fold.cast("string")))
+    return each.select(
+        F.col("_one.tag.model").alias("model"),
+        F.col("_one.tag.variant").alias("variant"),
+        part.alias("part"),
+        label,
+        score.alias("score"),
+        (score > 0.5).cast("int").alias("pred"),
+    )
+
+
 def model_sweep(
-    split: DataFrame,
-    folded: DataFrame,
-    models: Mapping[str, Classifier],
+    rows: DataFrame,
+    models: Mapping[str, Classifier | TreeClassifier],
     subsets: Mapping[str, Sequence[str]],
     label: str = "label",
+    folds: int = 5,
     threads: int = 8,
 ) -> DataFrame:
     """Every model on every feature subset: cross-validated F1 and the scores on validation and test rows.
 
-    Each fit writes the predictions of its held-out rows; all scores come from one pass over them.
+    ``rows`` are those of ``fold_masks``; folds are filters on them. All tree models of a family grow in the same jobs, the
+    other fits run side by side. Each fit's held-out predictions are written; all scores come from one pass over them.
     """
-    train, held = split.filter("split = 'train'"), split.filter("split <> 'train'")
     tag = ["model", "variant", "part", label, "score", "pred"]
 
-    def run(name: str, variant: str, fold: int | None) -> DataFrame:
-        model, cols = models[name], subsets[variant]
-        if fold is None:
-            rows = model.fit(train, cols, label).score(held).withColumn("part", F.col("split"))
-        else:
-            part = folded.filter(F.col("fold") == fold)
-            scorer = model.fit(part.filter("role = 'train'"), cols, label)
-            rows = scorer.score(part.filter("role = 'valid'")).withColumn("part", F.concat(F.lit("cv"), F.lit(fold)))
-        rows = rows.withColumn("model", F.lit(name)).withColumn("variant", F.lit(variant))
-        return materialize(rows.select(*tag))
-
-    folds = [None, *_fold_numbers(folded)]
-    jobs = [partial(run, name, variant, fold) for variant in subsets for name in models for fold in folds]
-    scored = _concurrently(split.sparkSession, jobs, threads)
+    def run(name: str, variant: str, fold: int) -> DataFrame:
+        scorer = models[name].fit(rows.where(_has_bit("trains", fold)), subsets[variant], label)
+        told = scorer.score(rows.where(_has_bit("holds", fold))).withColumn("part", _part(fold))
+        return materialize(told.withColumn("model", F.lit(name)).withColumn("variant", F.lit(variant)).select(*tag))
+
+    grown = {name: model for name, model in models.items() if isinstance(model, TreeClassifier)}
+    jobs = [partial(run, name, v, fold) for v in subsets for name in models if name not in grown for fold in range(folds + 1)]
+    parts = [_concurrently(rows.sparkSession, jobs, threads)] if jobs else []
+    if grown:
+        parts.append(materialize(_tree_predictions(rows, grown, subsets, label, folds)))
+    scored = reduce(DataFrame.unionByName, parts)
     scores = materialize(evaluate(scored, ["model", "variant", "part"], label))
     names = ["f1", "precision", "recall", "mcc", "roc_auc", "tn", "fp", "fn", "tp"]
     in_cv = F.when(F.col("part").startswith("cv"), F.col("f1"))
@@ -225,7 +291,14 @@ def leaderboard(results: DataFrame) -> DataFrame:
     return results.orderBy(F.col("test_f1").desc(), "model", "variant")
 
 
-def feature_attribution(
+def feature_attribution(scorer: Scorer | TreeScorer, df: DataFrame, cols: Sequence[str], **sampling) -> DataFrame:
+    """Mean absolute Shapley value of each feature for the class-1 score: exact for trees, sampled otherwise."""
+    if isinstance(scorer, TreeScorer):
+        return trees.tree_attribution(scorer.model, scorer.edges, df, scorer.cols)
+    return sampled_attribution(scorer, df, cols, **sampling)
+
+
+def sampled_attribution(
     scorer: Scorer, df: DataFrame, cols: Sequence[str], n_perm: int = 8, seed: int = 42, id: str = "id"
 ) -> DataFrame:
     """Mean absolute Shapley value of each feature for the class-1 score (Strumbelj and Kononenko, 2014).
@@ -261,7 +334,12 @@ def feature_attribution(
     return means.select(F.get(names, F.col("i")).alias("feature"), "mean_abs_shap")
 
 
-KINDS = {"churn": CHURN_FEATURES, "network_change": NETWORK_CHANGE, "network_static": NETWORK_STATIC}
+def attribution_table(
+    attribution: DataFrame, kinds: Mapping[str, Sequence[str]] = KINDS, default: str = "velocity/context"
+) -> DataFrame:
+    """Attribution with each feature's ``type``, the strongest first (ties by name)."""
+    typed = attribution.withColumn("type", S.group_of(F.col("feature"), kinds, default))
+    return typed.orderBy(F.col("mean_abs_shap").desc(), "feature")
 
 
 def attribution_groups(

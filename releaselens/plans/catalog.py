@@ -104,20 +104,66 @@ def _feature_table(spark, folder):
     )
 
 
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def forget() -> None:
-    """Let the next query build its feature table anew."""
-    _FRAMES.clear()
+    """Let the next query build its feature table and model results anew."""
+    _WRITTEN.clear()
+
+
+def _once(spark, folder, name, tables, build):
+    """What several queries share, written once for an application and for the input files as they are now."""
+    files = spark.read.format("binaryFile").load([f"{folder}/{t}.parquet" for t in tables])
+    seen = tuple(sorted((r["path"], r["modificationTime"], r["length"]) for r in files.drop("content").collect()))
+    at = (spark.sparkContext.applicationId, name, seen)
+    if at not in _WRITTEN:
+        _WRITTEN[at] = materialize(build())
+    return _WRITTEN[at]
+
+
+RELEASE_TABLES = ("orders", "customer", "lineitem")
 
 
 def _release_frame(spark, folder):
-    """The complete feature table (velocity, churn, network), written once for an application and folder."""
-    at = (spark.sparkContext.applicationId, folder)
-    if at not in _FRAMES:
-        _FRAMES[at] = materialize(_feature_table(spark, folder).drop("num_issues"))
-    return _FRAMES[at]
+    """The complete feature table (velocity, churn, network)."""
+    return _once(spark, folder, "frame", RELEASE_TABLES, lambda: _feature_table(spark, folder).drop("num_issues"))
+
+
+RELEASE_ORDER = ("start_date", "release")
+
+
+def _release_prepared(spark, folder):
+    """Releases split by time, gaps filled and features scaled on the training part, with the rows of each fold."""
+    frame = _release_frame(spark, folder)
+    cols = mlprep.feature_select(frame)
+    rows = materialize(mlprep.temporal_split(frame, RELEASE_ORDER))
+    train = F.col("split") == "train"
+    rows = mlprep.impute(rows, mlprep.fit_medians(rows.filter(train), cols))
+    rows = materialize(mlprep.scale(rows, mlprep.fit_standard(rows.filter(train), cols)))
+    return materialize(mlprep.fold_masks(rows, RELEASE_ORDER)), cols
+
+
+def _release_results(spark, folder):
+    """Scores of all models on the three feature subsets of the releases."""
+
+    def build():
+        rows, cols = _release_prepared(spark, folder)
+        return models.model_sweep(rows, models.build_models(), mlprep.feature_subsets(cols), "is_degraded")
+
+    return _once(spark, folder, "results", RELEASE_TABLES, build)
+
+
+def _release_attribution(spark, folder):
+    """Attribution of the combined forest on training and test releases."""
+
+    def build():
+        rows, cols = _release_prepared(spark, folder)
+        used = mlprep.feature_subsets(cols)["C_combined"]
+        scorer = models.random_forest().fit(rows.filter("split = 'train'"), used, "is_degraded")
+        return models.feature_attribution(scorer, rows.filter("split <> 'val'"), used)
+
+    return _once(spark, folder, "attribution", RELEASE_TABLES, build)
 
 
 def _release_features(frame):
@@ -152,6 +198,10 @@ def _folds(prepared):
     return materialize(mlprep.cv_folds(prepared.filter("split = 'train'"), ["id"]))
 
 
+def _masked(prepared):
+    return materialize(mlprep.fold_masks(prepared, ["id"]))
+
+
 # ---- sources -------------------------------------------------------------------------------------------
 
 
@@ -587,6 +637,11 @@ def cv_folds(spark, folder):
     return mlprep.cv_folds(_samples(spark, folder), ["id"]).select("id", "fold", "role")
 
 
+@query
+def fold_sizes(spark, folder):
+    return mlprep.fold_sizes(_masked(_split(spark, folder)))
+
+
 @query
 def impute_median(spark, folder):
     rows = _split(spark, folder)
@@ -685,6 +740,11 @@ def variant_gaps(spark, folder):
     return stats.variant_gaps(_rule_scores(spark, folder))
 
 
+@query
+def variant_verdict(spark, folder):
+    return stats.variant_verdict(stats.variant_gaps(_rule_scores(spark, folder)))
+
+
 @query
 def best_model(spark, folder):
     simple = _labelled(spark, folder).select(
@@ -729,7 +789,41 @@ def model_sweep(spark, folder):
     subsets = mlprep.feature_subsets(
         ALL_SAMPLE_COLS, {"A_churn": ("f_chars", "f_gappy"), "B_network": ("f_spaces", "f_dots")}, leak=("f_constant",)
     )
-    return models.leaderboard(models.model_sweep(rows, _folds(rows), models.build_models(), subsets))
+    return models.leaderboard(models.model_sweep(_masked(rows), models.build_models(), subsets))
+
+
+@query
+def release_model_sweep(spark, folder):
+    """All model families on the churn, network and combined features of the releases."""
+    return models.leaderboard(_release_results(spark, folder))
+
+
+@query
+def release_best_model(spark, folder):
+    frame = _release_frame(spark, folder)
+    split = mlprep.temporal_split(frame, RELEASE_ORDER)
+    baselines = evaluation.baseline_metrics(split, _forecasts(frame))
+    return stats.best_model(_release_results(spark, folder), baselines)
+
+
+@query
+def release_variant_gaps(spark, folder):
+    return stats.variant_gaps(_release_results(spark, folder))
+
+
+@query
+def h4_overall(spark, folder):
+    return stats.variant_verdict(stats.variant_gaps(_release_results(spark, folder)))
+
+
+@query
+def release_attribution(spark, folder):
+    return models.attribution_table(_release_attribution(spark, folder))
+
+
+@query
+def change_beats_static(spark, folder):
+    return models.change_beats_static(models.attribution_groups(_release_attribution(spark, folder)))
 
 
 def _attribution(spark, folder):
@@ -738,12 +832,14 @@ def _attribution(spark, folder):
     return models.feature_attribution(scorer, rows.filter("split <> 'val'"), ALL_SAMPLE_COLS)
 
 
+SAMPLE_KINDS = {"size": ("f_chars", "f_spaces"), "style": ("f_dots",)}
+
+
 @query
 def feature_attribution(spark, folder):
-    return _attribution(spark, folder)
+    return models.attribution_table(_attribution(spark, folder), SAMPLE_KINDS, "other")
 
 
 @query
 def attribution_groups(spark, folder):
-    kinds = {"size": ("f_chars", "f_spaces"), "style": ("f_dots",)}
-    return models.attribution_groups(_attribution(spark, folder), kinds, "other")
+    return models.attribution_groups(_attribution(spark, folder), SAMPLE_KINDS, "other")

@@ -518,7 +518,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "baseline_forecasts": "SELECT release, persist_pred, ma_pred FROM forecast",
         "baseline_metrics": f"""
-            SELECT {_r(*SCORES)} FROM ({_scores('''(
+            SELECT {_r(*SCORES)}, CAST(NULL AS DOUBLE) AS roc_auc FROM ({_scores('''(
               SELECT 'naive' AS model, split, is_degraded AS y, majority AS pred FROM held,
                 (SELECT is_degraded AS majority FROM ordered_v WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
               UNION ALL SELECT 'persistence', split, is_degraded, persist_pred FROM held JOIN forecast USING (release)
@@ -604,6 +604,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, fold, CASE WHEN pos - 1 < total - (6 - fold) * (total // 6) THEN 'train' ELSE 'valid' END AS role
             FROM placed, (VALUES (1), (2), (3), (4), (5)) AS t(fold)
             WHERE pos - 1 < total - (6 - fold) * (total // 6) + total // 6""",
+        "fold_sizes": """
+            SELECT fold, count(*) FILTER (pos - 1 < total - (6 - fold) * (total // 6)) AS train,
+                   count(*) FILTER (pos - 1 >= total - (6 - fold) * (total // 6)
+                                    AND pos - 1 < total - (6 - fold) * (total // 6) + total // 6) AS valid
+            FROM (SELECT row_number() OVER (ORDER BY id) AS pos, count(*) OVER () AS total FROM parted WHERE split = 'train'),
+                 (VALUES (1), (2), (3), (4), (5)) AS t(fold) GROUP BY fold""",
         "impute_median": """
             SELECT id, round(coalesce(f_gappy, (SELECT median(f_gappy) FROM parted WHERE split = 'train')), 6) AS f_gappy
             FROM parted""",
@@ -656,6 +662,13 @@ def oracle_sql() -> dict[str, str]:
                   FROM (SELECT model, max(f1) FILTER (variant = 'A_churn') AS A_f1, max(f1) FILTER (variant = 'B_network') AS B_f1,
                                max(f1) FILTER (variant = 'C_combined') AS C_f1
                         FROM ({_scores('rules', 'model, variant', 'y', 'pred')}) GROUP BY model))""",
+        "variant_verdict": f"""
+            SELECT count(*) AS n_models, count(*) FILTER (h4_pass) AS n_passed,
+                   CASE WHEN count(*) > 0 THEN count(*) FILTER (h4_pass) = count(*) END AS h4_overall
+            FROM (SELECT (C_f1 - A_f1) / greatest(C_f1, 1e-9) * 100 >= 10 AND (C_f1 - B_f1) / greatest(C_f1, 1e-9) * 100 >= 10 AS h4_pass
+                  FROM (SELECT model, max(f1) FILTER (variant = 'A_churn') AS A_f1, max(f1) FILTER (variant = 'B_network') AS B_f1,
+                               max(f1) FILTER (variant = 'C_combined') AS C_f1
+                        FROM ({_scores('rules', 'model, variant', 'y', 'pred')}) GROUP BY model))""",
         "best_model": f"""
             SELECT m.model AS best_model, round(m.f1, 6) AS best_model_f1, s.model AS best_baseline,
                    round(s.f1, 6) AS best_baseline_f1, m.f1 >= 0.75 AS h3_pass

@@ -186,6 +186,8 @@ def test_result_comparisons(spark):
     df = spark.createDataFrame(rows, "model string, variant string, test_f1 double")
     gaps = [tuple(r) for r in stats.variant_gaps(df).collect()]
     assert gaps == [("lr", 0.5, 0.4, 0.8, pytest.approx(37.5), pytest.approx(50.0), True)]
+    assert tuple(stats.variant_verdict(stats.variant_gaps(df)).first()) == (1, 1, True)
+    assert tuple(stats.variant_verdict(stats.variant_gaps(df).limit(0)).first()) == (0, 0, None)
     base = spark.createDataFrame([("naive", "test", 0.6), ("x", "val", 0.9)], "model string, split string, f1 double")
     assert tuple(stats.best_model(df, base).first()) == ("lr", 0.8, "naive", 0.6, True)
 
@@ -198,14 +200,19 @@ def test_models_learn_and_attribution_adds_up(spark):
         rows.append((i, x, y, z, int(x * x + y * y > 0.6)))
     df = spark.createDataFrame(rows, "id bigint, x double, y double, z double, label int")
     cols = ["x", "y", "z"]
-    for name, model in models.build_models(trees=20, rounds=10).items():
+    for name, model in models.build_models(n_trees=20, rounds=10).items():
         scored = model.fit(df, cols, "label").score(df)
         auc = evaluation.roc_auc(scored.withColumn("g", F.lit(1)), ["g"], "label", "score").first()["roc_auc"]
         # The classes are not linearly separable.
         assert auc > (0.9 if name != "logistic_regression" else 0.3), name
     scorer = models.random_forest(20).fit(df, cols, "label")
-    found = {r["feature"]: r["mean_abs_shap"] for r in models.feature_attribution(scorer, df, cols, n_perm=4).collect()}
-    assert found["z"] < min(found["x"], found["y"])
+    table = models.attribution_table(models.feature_attribution(scorer, df, cols), {"round": ("x", "y")}, "flat").collect()
+    found = {r["feature"]: r["mean_abs_shap"] for r in table}
+    assert found["z"] < min(found["x"], found["y"]) and [r["type"] for r in table] == ["round", "round", "flat"]
+    assert [r["mean_abs_shap"] for r in table] == sorted(found.values(), reverse=True)
+    sampled = models.feature_attribution(models.rbf_svm().fit(df, cols, "label"), df, cols, n_perm=4).collect()
+    sampled = {r["feature"]: r["mean_abs_shap"] for r in sampled}
+    assert sampled["z"] < min(sampled["x"], sampled["y"])
     kinds = {"network_change": ("x",), "network_static": ("z",)}
     grouped = models.attribution_groups(spark.createDataFrame(list(found.items()), "feature string, mean_abs_shap double"), kinds)
     assert models.change_beats_static(grouped).first()["change_wins"] is True
@@ -214,12 +221,31 @@ def test_models_learn_and_attribution_adds_up(spark):
 def test_sweep_scores_every_model_and_variant(spark):
     df = spark.createDataFrame([(i, float(i % 10), float(i % 7), int(i % 10 > 5)) for i in range(80)], "id bigint, a double, b double, label int")
     split = mlprep.temporal_split(df, ["id"])
-    folds = mlprep.cv_folds(split.filter("split = 'train'"), ["id"], 3)
-    board = models.leaderboard(
-        models.model_sweep(split, folds, {"lr": models.logistic_regression()}, {"A": ["a"], "B": ["b"]})
-    ).collect()
-    assert [(r["variant"], r["n_features"]) for r in board] == [("A", 1), ("B", 1)]
-    assert board[0]["test_f1"] == 1.0 and board[0]["cv_f1_mean"] > 0.9
+    masked = mlprep.fold_masks(split, ["id"], 3)
+    kinds = {"lr": models.logistic_regression(), "rf": models.random_forest(7), "gbt": models.boosted_trees(5)}
+    board = models.leaderboard(models.model_sweep(masked, kinds, {"A": ["a"], "B": ["b"]}, folds=3)).collect()
+    assert {(r["model"], r["variant"], r["n_features"]) for r in board} == {(m, v, 1) for m in kinds for v in "AB"}
+    assert [r["variant"] for r in board] == ["A"] * 3 + ["B"] * 3
+    assert all(r["test_f1"] == 1.0 and r["cv_f1_mean"] > 0.9 for r in board[:3])
+    # the batch gives each fit what it gets alone
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    alone = models.evaluate(kinds["gbt"].fit(train, ["b"], "label").score(test), ["split"], "label").first()
+    (batched,) = [r for r in board if (r["model"], r["variant"]) == ("gbt", "B")]
+    assert (alone["f1"], alone["roc_auc"]) == (batched["test_f1"], batched["test_roc_auc"])
+
+
+def test_fold_masks_say_what_the_folds_hold(spark):
+    df = spark.range(67).withColumn("x", F.col("id") * 2)
+    split = mlprep.temporal_split(df, ["id"])
+    masked = mlprep.fold_masks(split, ["id"], 4)
+    assert masked.count() == 67
+    want = {(r["id"], r["fold"], r["role"]) for r in mlprep.cv_folds(split.filter("split = 'train'"), ["id"], 4).collect()}
+    rows = masked.collect()
+    got = {(r["id"], f, name) for r in rows for f in range(1, 5) for name, c in (("train", "trains"), ("valid", "holds")) if r[c] >> f & 1}
+    assert got == want
+    assert all((r["trains"] & 1, r["holds"] & 1) == ((1, 0) if r["split"] == "train" else (0, 1)) for r in rows)
+    sizes = [tuple(r) for r in mlprep.fold_sizes(masked, 4).orderBy("fold").collect()]
+    assert sizes == [(f, sum(w[1:] == (f, "train") for w in want), sum(w[1:] == (f, "valid") for w in want)) for f in range(1, 5)]
 
 
 def test_smote_refuses_gaps(spark):
