@@ -82,3 +82,12 @@ def group_of(name: Column, groups: Mapping[str, Sequence[str]], default: str) ->
 def mentions(name: Column, words: Sequence[str]) -> Column:
     """Does the lower-cased name contain one of the words?"""
     return reduce(lambda left, right: left | right, [F.lower(name).contains(w) for w in words])
+
+
+#: Parts of one in which fractions are added up.
+UNITS = 1 << 40
+
+
+def sum_of_fractions(value: Column) -> Column:
+    """Sum of doubles in whole units of 2^-40, so that rows may come in any order and equal groups have equal sums."""
+    return F.sum((value * F.lit(float(UNITS))).cast("bigint").cast("decimal(20,0)")).cast("double") / F.lit(float(UNITS))

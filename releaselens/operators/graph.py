@@ -81,7 +81,8 @@ def graph_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     per_node = corners.groupBy(*KEY).agg(F.count(F.lit(1)).alias("triangles"))
     d = F.col("degree")
     local = S.ratio_or_zero(2 * F.coalesce("triangles", F.lit(0)), d * (d - 1))
-    return degree.join(per_node, KEY, "left").groupBy("release").agg(F.avg(local).alias("avg_clustering"))
+    mean = S.sum_of_fractions(local) / F.count(F.lit(1))
+    return degree.join(per_node, KEY, "left").groupBy("release").agg(mean.alias("avg_clustering"))
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def closeness_of(
         return counts.select("release", F.lit(0.0).alias("avg_closeness"))
     total = sums.groupBy(*KEY).agg(F.sum("distance").alias("distance")).join(counts, "release")
     mean = total.groupBy("release").agg(
-        F.avg(S.ratio_or_zero(F.col("n") - 1, F.col("distance"))).alias("avg_closeness")
+        (S.sum_of_fractions(S.ratio_or_zero(F.col("n") - 1, F.col("distance"))) / F.count(F.lit(1))).alias("avg_closeness")
     )
     return counts.select("release").join(mean, "release", "left").fillna(0.0, subset=["avg_closeness"])
 
@@ -243,7 +244,9 @@ def graph_betweenness(nodes: DataFrame, edges: DataFrame, max_sources: int | Non
     loads = shortest_path_loads(adjacency(edges), sources)
     n = F.col("n")
     used = n if max_sources is None else F.least(n, F.lit(max_sources))
-    share = S.ratio(F.col("load"), (n - 1) * (n - 2)) * S.ratio(n, used)
+    # in units of 2^-19, so that the order in which a load was summed cannot tell equal ones apart
+    load = F.round(F.col("load") * F.lit(float(1 << 19))) / F.lit(float(1 << 19))
+    share = S.ratio(load, (n - 1) * (n - 2)) * S.ratio(n, used)
     most = loads.join(counts, "release").groupBy("release").agg(F.max(share).alias("max_betweenness"))
     return counts.select("release").join(most, "release", "left").fillna(0.0, subset=["max_betweenness"])
 

@@ -114,13 +114,17 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by:
 
 
 def gini_of_counts(counts: DataFrame, value: str, by: Sequence[str] = (), out: str = "gini") -> DataFrame:
-    """Gini coefficient from ``value_counts_in_order``: equal values take consecutive ranks."""
+    """Gini coefficient from ``value_counts_in_order``: equal values take consecutive ranks.
+
+    One division of sums, which are whole for whole values: equal coefficients are equal numbers, whatever the group's size.
+    """
     x, n = F.col(value).cast("double"), F.col("n").cast("double")
     rank_sum = n * F.col("before") + n * (n + 1) / 2
     parts = counts.groupBy(*by).agg(
         F.sum(x * rank_sum).alias("_ranked"), F.sum(x * n).alias("_sum"), F.sum(n).alias("_n")
     )
-    gini = F.try_divide(2 * F.col("_ranked"), F.col("_n") * F.col("_sum")) - (F.col("_n") + 1) / F.col("_n")
+    over = 2 * F.col("_ranked") - (F.col("_n") + 1) * F.col("_sum")
+    gini = F.try_divide(over, F.col("_n") * F.col("_sum"))
     return parts.select(*by, F.when(F.col("_sum") == 0, 0.0).otherwise(F.coalesce(gini, F.lit(0.0))).alias(out))
 
 

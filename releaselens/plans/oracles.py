@@ -26,7 +26,7 @@ def _r(*names: str, star: str = "*", stamps: tuple[str, ...] = ()) -> str:
 
 def _gini(source: str, by: str, value: str, out: str) -> str:
     return f"""SELECT {by}, CASE WHEN sum(x) = 0 THEN 0.0
-                 ELSE 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / CAST(count(*) AS DOUBLE) END AS {out}
+                 ELSE (2 * sum(i * x) - (count(*) + 1) * sum(x)) / (count(*) * sum(x)) END AS {out}
           FROM (SELECT {by}, CAST({value} AS DOUBLE) AS x,
                        row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS i FROM {source})
           GROUP BY {by}"""
@@ -149,8 +149,9 @@ CTES = {name: role_text(name) for name in ROLES} | {
         SELECT release, avg(degree) AS avg_degree, any_value(degree_centralization) AS degree_centralization
         FROM deg JOIN deg_gini USING (release) GROUP BY release""",
     "clustering": """
-        SELECT release, avg(CASE WHEN degree < 2 THEN 0.0
-                            ELSE coalesce(t, 0) / CAST(degree * (degree - 1) AS DOUBLE) END) AS avg_clustering
+        SELECT release, CAST(sum(CAST(trunc(CASE WHEN degree < 2 THEN 0.0
+                            ELSE coalesce(t, 0) / CAST(degree * (degree - 1) AS DOUBLE) END * 1099511627776.0::DOUBLE) AS BIGINT)) AS DOUBLE)
+                            / 1099511627776.0::DOUBLE / count(*) AS avg_clustering
         FROM deg LEFT JOIN (
           SELECT p.release, p.x AS node, count(*) AS t
           FROM u p JOIN u q ON p.release = q.release AND p.x = q.x AND p.y <> q.y
@@ -177,14 +178,15 @@ CTES = {name: role_text(name) for name in ROLES} | {
         WHERE b.s = comp.node GROUP BY release""",
     "closeness": """
         SELECT release, CASE WHEN max(num_components) > 1 THEN 0.0
-                             ELSE avg(CASE WHEN total > 0 THEN (k - 1) / CAST(total AS DOUBLE) ELSE 0.0 END) END AS avg_closeness
+                             ELSE CAST(sum(CAST(trunc(CASE WHEN total > 0 THEN (k - 1) / CAST(total AS DOUBLE) ELSE 0.0 END
+                                  * 1099511627776.0::DOUBLE) AS BIGINT)) AS DOUBLE) / 1099511627776.0::DOUBLE / count(*) END AS avg_closeness
         FROM (SELECT release, s, count(*) AS k, sum(d) AS total FROM b GROUP BY ALL) JOIN components USING (release)
         GROUP BY release""",
     "betweenness": """
         SELECT release, CASE WHEN num_nodes < 3 THEN 0.0
                ELSE coalesce(top, 0) / ((num_nodes - 1) * (num_nodes - 2) / 2.0) END AS max_betweenness
         FROM basic LEFT JOIN (
-          SELECT release, max(load) AS top FROM (
+          SELECT release, max(round(load * 1048576.0::DOUBLE) / 1048576.0::DOUBLE) AS top FROM (
             SELECT st.release, sv.v, sum(sv.g * vt.g / st.g) AS load
             FROM b st JOIN b sv ON sv.release = st.release AND sv.s = st.s
                       JOIN b vt ON vt.release = st.release AND vt.s = sv.v AND vt.v = st.v
@@ -360,15 +362,27 @@ CORR = "covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)"
 SAMPLE_SCALED = ("f_chars", "f_spaces", "f_dots", "f_gappy", "f_constant")
 
 
-def _ranked(source: str, y: str) -> str:
-    """Spearman's r: Pearson over average ranks, missing features as 0."""
+def _ranked(source: str, y: str, exact: str = "") -> str:
+    """Spearman's r: Pearson over average ranks, missing features as 0; on request also as it is, not rounded."""
     return f"""
-        SELECT feature, count(*) AS n, round({CORR}, 6) + 0.0 AS spearman_r FROM (
+        SELECT feature, count(*) AS n, round({CORR}, 6) + 0.0 AS spearman_r{f", {CORR} AS {exact}" if exact else ""} FROM (
           SELECT feature, rank() OVER (PARTITION BY feature ORDER BY f) + (count(*) OVER (PARTITION BY feature, f) - 1) / 2.0 AS x,
                  rank() OVER (PARTITION BY feature ORDER BY {y}) + (count(*) OVER (PARTITION BY feature, {y}) - 1) / 2.0 AS y
           FROM (SELECT feature, coalesce(value, 0) AS f, {y} FROM {source})) GROUP BY feature"""
 
 
+def _tested(names: dict) -> str:
+    """Rank correlations of the hypotheses with two-sided p-values: the series of Student's t by gamma functions."""
+    term = "exp(k * ln(1 - r * r) + lgamma(k + {0}) - lgamma(k + {1}))"
+    even = f"list_sum(list_transform(range(0, (n - 2) // 2), lambda k: {term.format(0.5, 1.0)})) / sqrt(pi())"
+    odd = f"list_sum(list_transform(range(0, (n - 3) // 2), lambda k: {term.format(1.0, 1.5)})) * sqrt(pi()) / 2 * sqrt(1 - r * r)"
+    ranked = _ranked("(SELECT feature, value, is_degraded FROM frame_long JOIN frame USING (release))", "is_degraded", exact="r")
+    return f"""
+        SELECT feature, n, spearman_r, CASE WHEN n < 3 THEN NULL WHEN abs(r) >= 1 THEN 0.0 WHEN r = 0 THEN 1.0
+                 WHEN n % 2 = 0 THEN 1 - abs(r) * {even} ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * coalesce({odd}, 0)) END AS p
+        FROM ({ranked}) WHERE feature IN {names['H1']} OR feature IN {names['H2']}"""
+
+
 def _scaled(center: str, spread: str) -> str:
     parts = [
         f"round((p.{c} - f.{c}_m) / CASE WHEN f.{c}_s > 0 THEN f.{c}_s ELSE 1 END, 6) + 0.0 AS {c}" for c in SAMPLE_SCALED
@@ -598,6 +612,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN feature IN {names['H1']} THEN 'H1' ELSE 'H2' END AS hypothesis, *
             FROM ({_ranked('(SELECT feature, value, is_degraded FROM frame_long JOIN frame USING (release))', 'is_degraded')})
             WHERE feature IN {names['H1']} OR feature IN {names['H2']}""",
+        "spearman_p_values": f"""
+            SELECT CASE WHEN feature IN {names['H1']} THEN 'H1' ELSE 'H2' END AS hypothesis, feature, n, spearman_r,
+                   round(p, 6) + 0.0 AS p_value,
+                   CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS sig
+            FROM ({_tested(names)})""",
+        "hypothesis_verdicts": f"""
+            SELECT CASE WHEN count(*) FILTER (feature IN {names['H1']}) > 0
+                        THEN coalesce(bool_or(abs(spearman_r) > 0.3) FILTER (feature IN {names['H1']}), false)
+                             AND coalesce(bool_or(p < 0.05) FILTER (feature IN {names['H1']}), false) END AS h1_pass,
+                   CASE WHEN count(*) FILTER (feature = 'churn_concentration') > 0
+                        THEN coalesce(bool_or(abs(spearman_r) > 0.25) FILTER (feature = 'churn_concentration'), false) END AS h2_pass
+            FROM ({_tested(names)})""",
         "spearman_samples": _ranked("sample_long", "label"),
         "temporal_split": "SELECT id, pos, split FROM parted",
         "cv_folds": """

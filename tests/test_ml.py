@@ -130,10 +130,26 @@ def test_quality_and_correlations(spark):
 
 def test_spearman_and_p_values(spark):
     # Published pairs of a correlation over 111 rows and its two-sided p-value.
-    for r, p in ((-0.37372691456385454, 5.338350286407826e-05), (0.24858502347504868, 0.008518670556068446),
-                 (0.009625961419219458, 0.9201299107514193)):
-        assert stats.correlation_p(r, 111) == pytest.approx(p, rel=1e-9)
-    assert stats.correlation_p(1.0, 10) == 0.0 and stats.correlation_p(0.5, 2) is None
+    published = [(-0.37372691456385454, 111, 5.338350286407826e-05), (0.24858502347504868, 111, 0.008518670556068446)]
+    published += [(0.009625961419219458, 111, 0.9201299107514193), (1.0, 10, 0.0), (0.5, 2, None), (None, 9, None), (0.0, 9, 1.0)]
+    # closed forms: one, two, three and four degrees of freedom
+    published += [(0.3, 3, 1 - 2 / math.pi * math.asin(0.3)), (-0.3, 4, 0.7), (0.3, 6, 1 - 0.3 * (1 + 0.91 / 2))]
+    published += [(0.3, 5, 1 - 2 / math.pi * (math.asin(0.3) + 0.3 * math.sqrt(0.91)))]
+    pairs = spark.createDataFrame(published, "r double, n bigint, p double")
+    for row in pairs.select("p", stats.correlation_p(F.col("r"), F.col("n")).alias("got")).collect():
+        assert row["got"] == (None if row["p"] is None else pytest.approx(row["p"], rel=1e-9))
+
+    def tail(r, n):
+        # the density of t integrated in small steps, as a share of the whole
+        t, v = r * math.sqrt((n - 2) / (1 - r * r)), n - 2
+        x = np.tan(np.linspace(0, np.pi / 2, 2_000_001)[:-1])
+        mass = (1 + x * x / v) ** (-(v + 1) / 2) * (1 + x * x)
+        return mass[x > t].sum() / mass.sum()
+
+    many = [(r, n) for r in (0.001, 0.1, 0.6) for n in (12, 13, 86, 87, 5000)]
+    df = spark.createDataFrame(many, "r double, n bigint").select("r", "n", stats.correlation_p(F.col("r"), F.col("n")).alias("p"))
+    for r, n, p in df.collect():
+        assert p == pytest.approx(tail(r, n), abs=1e-5)
     rng = random.Random(4)
     rows = [(float(rng.randrange(5)), None if i % 7 == 0 else rng.random(), i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "density double, total_churn double, is_degraded int")
