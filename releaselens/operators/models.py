@@ -80,6 +80,8 @@ class Classifier:
         rows = df.withColumn(LABEL, F.col(label).cast("double")).withColumn(
             WEIGHT, F.when(F.col(label) == 1, weight[1]).otherwise(weight[0])
         )
+        # an iteration is a job: tasks of few rows cost more than they share
+        rows = rows.coalesce(max(1, -(-n // trees.BLOCK)))
         assemble = VectorAssembler(inputCols=list(cols), outputCol=FEATURES)
         model = Pipeline(stages=[assemble, *self.stages(facts)]).fit(rows)
         return Scorer(model, self.probability)
