@@ -3,7 +3,8 @@
 A pre-token never spans the place between a word and the white space after it, so a text's ids are the ids of its
 units (white space and the word after it) in sequence. Units are encoded by the tokenizers library itself and kept in a
 bounded table of each Python worker. A text with white space other than blank, tab, line feed and carriage return
-is encoded in one piece, since there the libraries' ideas of white space could differ.
+is encoded in one piece, since there the libraries' ideas of white space could differ; so is a text that spells an added
+token of the vocabulary, which the library gives its own id wherever it stands.
 """
 
 from __future__ import annotations
@@ -58,7 +59,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content for token in added]
+        # Normalised ones are found in other spellings too: then nothing short of the library will do.
+        self.whole = any(token.normalized for token in added)
         self.kept = kept
         # Units as they are; words that stand for the unit of a blank and the word.
         self.units: dict[str, bytes] = {}
@@ -128,7 +132,7 @@ class Encoder:
         """All ids of the whole text; null is the empty text."""
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if self.whole or _OTHER_SPACE.search(text) or any(token in text for token in self.added):
             return self.direct([text])[0]
         if any(run in text for run in _RUNS) or text[0] in " \n" or text[-1] in " \n":
             return self._joined(self.units, _UNIT.findall(text), "")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from releaselens.llm import token_shards as t
 from releaselens.llm.encoding import Encoder, vocabulary
@@ -25,6 +26,19 @@ def test_encoder_equals_library(name):
     assert e.joins_blank is not None and e.encode(None) == b""
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_as_in_a_fresh_tokenizer(name):
+    fresh, e = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name))
+    tokens = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    texts = sample(5, 50)
+    for token in tokens:
+        texts += [token, f"hello {token} x", f"a{token}b  c", f" {token}\n{token} {token.upper()}", token[:-1], f"{token[1:]} <| |>"]
+        texts += [f"{x[:40]}{token}{x[40:]}" for x in sample(6, 20)]
+    for x in texts:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == fresh.encode(x, add_special_tokens=False).ids, x
+    assert tokens
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 511, 512, 513, 5000, 140_000):
