@@ -5,9 +5,10 @@ Linear and kernel machines are Spark ML's; forests and boosted trees grow in bat
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
@@ -19,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -137,6 +138,25 @@ class TreeScorer:
         out = df.withColumn("score", trees.scores_of(df.sparkSession, [self.model], self.edges, self.cols)[0])
         return out.withColumn("pred", (F.col("score") > 0.5).cast("int"))
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The model as one row, bounded by its trees."""
+        kind, m = self.model.kind, self.model
+        row = {k: getattr(m, k).tolist() for k in trees.NODES}
+        row |= {"used": list(m.cols), "weights": list(m.weights), "cols": list(self.cols), "edges": [e.tolist() for e in self.edges]}
+        row |= {"kind": json.dumps({"bagged": kind.bagged, **asdict(kind)})}
+        schema = ", ".join(f"{k} array<long>" for k in (*trees.NODES, "used"))
+        return spark.createDataFrame([row], f"{schema}, weights array<double>, cols array<string>, edges array<array<double>>, kind string")
+
+    @staticmethod
+    def of(table: DataFrame) -> TreeScorer:
+        """The model of a row that ``table`` gave."""
+        row = table.first()
+        facts = json.loads(row["kind"])
+        kind = (trees.Forest if facts.pop("bagged") else trees.Boosting)(**facts)
+        nodes = {k: np.array(row[k], np.int64) for k in trees.NODES}
+        model = trees.Trees(kind, tuple(row["used"]), tuple(row["weights"]), **nodes)
+        return TreeScorer(model, [np.array(e, np.float64) for e in row["edges"]], tuple(row["cols"]))
+
 
 def random_forest(n_trees: int = 200, max_depth: int = 10, seed: int = 42) -> TreeClassifier:
     return TreeClassifier(trees.Forest(n_trees, max_depth, seed))

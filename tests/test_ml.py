@@ -279,3 +279,28 @@ def test_no_verdict_without_evidence(spark):
         [("H2", "churn_concentration", 0.5, 0.01)], "hypothesis string, feature string, spearman_r double, p_value double"
     )
     assert tuple(hypothesis_verdicts(df).first()) == (None, True)
+
+
+def test_runs_come_back_with_identical_scores(spark, tmp_path):
+    from releaselens.sources import snapshots
+
+    rng = random.Random(3)
+    rows = [(i, rng.random(), rng.random(), int(rng.random() < 0.4 + 0.4 * (i % 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, label int")
+    kinds = {"rf": models.random_forest(5), "gbt": models.boosted_trees(4), "svm": models.rbf_svm(max_iter=5)}
+    fitted = {name: model.fit(df, ["x", "y"], "label") for name, model in kinds.items()}
+    folds = mlprep.fold_masks(mlprep.temporal_split(df, ["id"]), ["id"]).select("id", "trains", "holds")
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        snapshots.load_run(spark, root)
+    snapshots.save_run(spark, root, "20260101_000000", {"folds": folds.limit(3)})
+    snapshots.save_run(spark, root, "20260102_000000", {"folds": folds}, fitted)
+    (tmp_path / "manifest" / "20260103_000000").mkdir()  # a run that did not end
+    assert snapshots.newest_runs(spark, root) == ["20260102_000000", "20260101_000000"]
+    with pytest.raises(ValueError):
+        snapshots.save_run(spark, root, "20260102_000000", {})
+    tables, loaded = snapshots.load_run(spark, root)
+    assert sorted(tables["folds"].collect()) == sorted(folds.collect()) and set(loaded) == set(kinds)
+    for name in kinds:
+        assert sorted(loaded[name].score(df).collect()) == sorted(fitted[name].score(df).collect())
+    assert snapshots.load_run(spark, root, "20260101_000000")[0]["folds"].count() == 3
