@@ -238,14 +238,22 @@ def balanced_versions(
     label: str = "label",
     seed: int = 42,
     id: str = "id",
+    held: DataFrame | None = None,
 ) -> DataFrame:
-    """Every strategy applied to the same raw training rows, then scaled on its own rows."""
-
+    """Every strategy applied to the same raw training rows, then scaled on its own rows.
 
+    Raw ``held`` rows (with ``split``) come with every strategy, unbalanced and scaled by its training rows; training rows then
+    have split ``train``.
+    """
     versions = None
     for strategy in strategies:
         balanced = materialize(balance(train, cols, strategy, label, seed, id))
-        (scaled,) = scale_standard(balanced, cols=cols)
+        if held is None:
+            (scaled,) = scale_standard(balanced, cols=cols)
+        else:
+            others = held.select("split", F.col(id).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in cols], label)
+            fitted = scale_standard(balanced.withColumn("split", F.lit("train")), others.withColumn("synthetic", F.lit(False)), cols=cols)
+            scaled = fitted[0].unionByName(fitted[1])
         scaled = scaled.withColumn("strategy", F.lit(strategy))
         versions = scaled if versions is None else versions.unionByName(scaled)
     return versions

@@ -699,7 +699,9 @@ def tomek_links(spark, folder):
 
 @query
 def balanced_versions(spark, folder):
-    return neighbors.balanced_versions(_split(spark, folder).filter("split = 'train'"), SAMPLE_COLS)
+    """Training rows by each strategy, and the validation and test rows scaled by each one's fit."""
+    rows, train = _split(spark, folder), F.col("split") == "train"
+    return neighbors.balanced_versions(rows.filter(train), SAMPLE_COLS, held=rows.filter(~train))
 
 
 # ---- models and evaluation -----------------------------------------------------------------------------

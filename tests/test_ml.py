@@ -71,7 +71,7 @@ def test_smote_tomek_leaves_no_link(points):
     assert {r["id"] for r in kept.collect()} == {r["id"] for r in grown.collect()} - linked
 
 
-def test_undersample_and_versions(points):
+def test_undersample_and_versions(spark, points):
     df, rows = points
     few = sum(r[3] for r in rows)
     assert {r["label"]: r["count"] for r in mlprep.undersample(df).groupBy("label").count().collect()} == {0: few, 1: few}
@@ -80,6 +80,16 @@ def test_undersample_and_versions(points):
     assert len(means) == 3 and all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in means)
     with pytest.raises(ValueError):
         neighbors.balance(df, ["x", "y"], "other")
+    held = spark.createDataFrame([(1000 + i, float(i), -float(i), i % 2, s) for i, s in enumerate(("val", "val", "test"))],
+                                 "id bigint, x double, y double, label int, split string")
+    both = neighbors.balanced_versions(df, ["x", "y"], ("oversample", "undersample"), held=held)
+    for strategy in ("oversample", "undersample"):
+        own = both.where(F.col("strategy") == strategy)
+        raw = neighbors.balance(df, ["x", "y"], strategy).agg(F.avg("x"), F.stddev_pop("x")).first()
+        got = {r["id"]: r for r in own.where("split <> 'train'").collect()}
+        assert sorted(got) == [1000, 1001, 1002] and got[1002]["split"] == "test" and not got[1000]["synthetic"]
+        assert all(got[1000 + i]["x"] == pytest.approx((i - raw[0]) / raw[1]) for i in range(3))
+        assert own.where("split = 'train'").agg(F.avg("x")).first()[0] == pytest.approx(0, abs=1e-9)
 
 
 @pytest.mark.parametrize("n,sizes", [(111, (79, 16, 16)), (10, (8, 1, 1))])
