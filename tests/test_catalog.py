@@ -13,7 +13,7 @@ import __spark_entry__ as driver  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 # The slowest keys are left to tools/check_oracles.py; their operators have tests of their own.
-SLOW = {"model_gbt", "model_sweep", "model_rbf_svm", "balanced_versions", "feature_table"}
+SLOW = {"model_sweep", "feature_table", "release_model_sweep", "release_best_model", "release_variant_gaps", "h4_overall"}
 KEYS = [k for k in driver.queries() if k not in SLOW]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
