@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -37,7 +38,7 @@ SHINGLE, BITS, SEED = 3, 3, 42
 BLOCKS, PIVOTS, HOT = (11, 11, 11, 11, 10, 10), 32, 2048
 #: For ``keep_one``: words of a shingle, least similarity (a fraction), least values in a band, bands, rounds of stars, and
 #: members of the largest bucket from which all pairs are compared at once.
-NEAR, ALIKE, ROWS, BANDS, STARS, FEW = 5, (4, 5), 5, 30, 3, 64
+NEAR, ALIKE, ROWS, BANDS, STARS, FEW = 5, (4, 5), 5, 30, 2, 16
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -321,46 +322,103 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("_a", "_b"))
     up, down = ALIKE
     alike = both * (up + down) >= (F.size("_a") + F.size("_b")) * up
-    return pairs.select("a", "b").join(b, "b").join(a, "a").where(alike).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").where(alike).select(*pairs.columns)
 
 
-def similar_components(members: DataFrame, sets: DataFrame, stars: int = STARS) -> DataFrame:
+def _joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``labels`` after the links among ``pairs`` (``a``, ``b`` and their labels ``ra``, ``rb``): only labels are linked."""
+    pairs, size = materialize_with(pairs.distinct(), n=F.count("*"))
+    if not size["n"]:
+        return labels
+    ends = _similar(pairs, sets).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    above = components(ends).select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    met = labels.join(above, F.col("root") == F.col("_old"), "left")
+    return materialize(met.select("node", F.coalesce("_new", "root").alias("root")))
+
+
+def _met(now: DataFrame, other: DataFrame, near: Column) -> DataFrame:
+    """Pairs of rows of ``now`` and ``other`` (columns with ``lead_``) on one key with different labels."""
+    met = now.join(other, "key").where((F.col("label") != F.col("lead_label")) & near)
+    first = F.col("id") < F.col("lead_id")
+    a = F.struct(F.col("id").alias("i"), F.col("label").alias("r"))
+    b = F.struct(F.col("lead_id").alias("i"), F.col("lead_label").alias("r"))
+    pairs = met.select(F.when(first, a).otherwise(b).alias("p"), F.when(first, b).otherwise(a).alias("q"))
+    return pairs.select(*[F.col(f"{c}.{x}").alias(n) for n, c, x in (("a", "p", "i"), ("b", "q", "i"), ("ra", "p", "r"), ("rb", "q", "r"))])
+
+
+def _prefixes(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """``ids`` (with all its columns) by its rarest shingles: ``key`` and their ``place`` in the order of rarity.
+
+    Sets at ``ALIKE`` share one of the shingles that come first in any one order: no more than the share that may differ
+    stands before it. Rarest first, near copies that differ too much share none of these.
+    """
+    up, down = ALIKE
+    each = sets.join(ids.select("id"), "id").select("id", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    # a shingle of one set alone meets nothing, but has its place before the others
+    met = each.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
+    held = ids.join(met, "id").withColumn("alone", F.col("n") - F.size("s"))
+    held = held.select(*ids.columns, "alone", F.posexplode("s").alias("at", "s"))
+    held = held.select(*ids.columns, (F.col("alone") + F.col("at")).alias("place"), F.col("s.key").alias("key"))
+    return held.where((F.col("n") - F.col("place")) * down >= F.col("n") * up)
+
+
+def similar_components(members: DataFrame, sets: DataFrame, stars: int = STARS, few: int = FEW) -> DataFrame:
     """``node``, ``root`` of all sets that verified links join, from ``key``, ``id``, ``n`` of buckets of two or more.
 
-    A bucket is compared as stars of one member with those not yet joined to it, and last by all pairs across what is
-    still apart: no pair of a bucket is left unjoined unless it was compared or a chain of links joins it.
+    A bucket is first compared as a star around one member. What is still apart in a bucket of ``few`` or less is then
+    compared in pairs. Larger ones go on with other stars, and what these leave apart meets by its rarest shingles instead
+    of its bucket (``_prefixes``): that misses no pair, and members with many shingles of their own meet few others. No pair
+    of a bucket is left unjoined unless it was compared, a chain of links joins it, or its shingles rule it out.
     """
     up, down = ALIKE
-    labels = members.sparkSession.createDataFrame([], "node long, root long")
-    checked = linked = members.sparkSession.createDataFrame([], "a long, b long")
+    near = F.least("n", "lead_n") * down >= F.greatest("n", "lead_n") * up
+    labels = materialize(members.select(F.col("id").alias("node"), F.col("id").alias("root")).distinct())
+    lead_ = ("id", "n", "label")
     for turn in range(stars + 1):
-        now = members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        now = now.select("key", "id", "n", F.coalesce("root", "id").alias("label"))
+        now = members.join(labels.select(F.col("node").alias("id"), F.col("root").alias("label")), "id")
+        now = now.select("key", "id", "n", "label")
         chance = F.xxhash64("id", F.lit(turn))
-        lead = [F.min_by(c, chance).alias(f"lead_{c}") for c in ("id", "n", "label")]
+        lead = [F.min_by(c, chance).alias(f"lead_{c}") for c in lead_]
         apart = now.groupBy("key").agg(F.count("*").alias("size"), F.countDistinct("label").alias("labels"), *lead)
         # the one pair of a bucket of two is compared in the first turn
         apart = apart.where((F.col("labels") > 1) & (F.col("size") > (2 if turn else 1))).drop("labels")
         apart, left = materialize_with(apart, n=F.count("*"), most=F.max("size"))
         if not left["n"]:
-            break
-        now = materialize(now.join(apart.drop("size"), "key"))
-        last = turn == stars or (turn and left["most"] <= FEW)
+            return labels
+        now = materialize(now.join(apart.select("key", "size"), "key"))
         members = now.select("key", "id", "n")
-        if last:
-            other = now.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("id", "n", "label")])
-            now = now.drop("lead_id", "lead_n", "lead_label").join(other, "key").where("label < lead_label")
-        near = F.least("n", "lead_n") * down >= F.greatest("n", "lead_n") * up
-        pairs = now.where((F.col("label") != F.col("lead_label")) & near)
-        pairs = pairs.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
-        pairs, size = materialize_with(pairs.join(checked, ["a", "b"], "left_anti"), n=F.count("*"))
-        if size["n"]:
-            checked = checked.unionByName(pairs)
-            linked = linked.unionByName(materialize(_similar(pairs, sets)))
-            labels = components(linked)
-        if last:
-            break
-    return labels
+        crowded = apart.where(F.col("size") > few) if turn else apart
+        pairs = [_met(now, crowded.drop("size"), near)] if turn < stars else []
+        if turn:
+            small = now.where(F.col("size") <= few)
+            other = small.select("key", *[F.col(c).alias(f"lead_{c}") for c in lead_])
+            pairs.append(_met(small, other, near & (F.col("id") < F.col("lead_id"))))
+            members = now.where(F.col("size") > few).select("key", "id", "n")
+        labels = _joined(labels, reduce(DataFrame.unionByName, pairs), sets) if pairs else labels
+        if turn and left["most"] <= few:
+            return labels
+    return _by_rarest(members, labels, sets)
+
+
+def _by_rarest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """``labels`` after all links between members of the crowded buckets, which meet by their rarest shingles."""
+    up, down = ALIKE
+    labelled = labels.select(F.col("node").alias("id"), F.col("root").alias("label"))
+    now = members.join(labelled, "id")
+    # every pair that is still apart has a member outside the largest label of its bucket
+    sizes = now.groupBy("key", "label").count().groupBy("key")
+    largest = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels"))
+    now = now.join(largest.where("labels > 1").drop("labels"), "key")
+    rest = F.max(F.col("label") != F.col("largest")).alias("rest")
+    ids = materialize(now.groupBy("id", "n", "label").agg(rest))
+    dealt = materialize(_prefixes(ids, sets))
+    other = dealt.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("id", "n", "label", "place", "rest")])
+    # what may still be shared from the first shared shingle on
+    enough = F.least(F.col("n") - F.col("place"), F.col("lead_n") - F.col("lead_place"))
+    enough = enough * (up + down) >= (F.col("n") + F.col("lead_n")) * up
+    once = ~F.col("lead_rest") | (F.col("id") < F.col("lead_id"))
+    return _joined(labels, _met(dealt.where("rest"), other, enough & once), sets)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -369,7 +427,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Near duplicates have a similarity of ``ALIKE`` or more between their sets of shingles of ``NEAR`` words. Equal sets are
     one from the start; others meet by several fingerprints a document (``BANDS`` keys of ``ROWS`` least values each), of
     which a pair at a similarity of 0.8 shares none with a chance of 7 in a million, and are linked only if all their
-    shingles confirm it.
+    shingles confirm it. Null and empty texts have the same empty set and are near duplicates of each other; a text of fewer
+    words is one shingle. Long texts are read whole.
 
     The row that stays is found by id and text digest, so texts move once and are not written; of rows that agree in
     both, the one with the least hash of all columns stays.

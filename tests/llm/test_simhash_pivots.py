@@ -113,14 +113,14 @@ def brute_survivors(ids, texts):
     return set(least.values()), links
 
 
-@pytest.mark.parametrize("stars", [0, p.STARS])
-def test_keep_one_against_brute_force_jaccard(table, monkeypatch, stars):
+@pytest.mark.parametrize("stars, few", [(0, p.FEW), (1, 1), (p.STARS, 3), (p.STARS, p.FEW)])
+def test_keep_one_against_brute_force_jaccard(table, monkeypatch, stars, few):
     rng = random.Random(5)
     texts = [None, "", "a", "a", "a b c d", "a b c d e"]
-    for _ in range(40):
+    for group in range(40):
         base = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(30, 300))]
         texts.append(" ".join(base))
-        for _ in range(rng.randrange(8)):  # edits of 0 to 4 per cent: similarities around 0.8, chains and near misses
+        for _ in range(60 if group < 2 else rng.randrange(8)):  # edits of 0 to 4 per cent: similarities around 0.8, chains and near misses
             w = list(base)
             for at in rng.sample(range(len(w)), rng.randrange(max(2, len(w) // 25))):
                 w[at] = "new"
@@ -129,5 +129,28 @@ def test_keep_one_against_brute_force_jaccard(table, monkeypatch, stars):
     want, links = brute_survivors(ids, texts)
     assert links > 100
     whole = p.similar_components
-    monkeypatch.setattr(p, "similar_components", lambda m, s: whole(m, s, stars))
+    monkeypatch.setattr(p, "similar_components", lambda m, s: whole(m, s, stars, few))
     assert {r["doc_id"] for r in p.keep_one(table(texts, ids, clash=True)).collect()} == want
+
+
+def test_crowded_buckets_do_not_meet_pair_by_pair(spark, table, monkeypatch):
+    rng, rows, whole = random.Random(8), [], p.materialize_with
+
+    def seen(df, *args, **metrics):
+        out = whole(df, *args, **metrics)
+        rows.append(out[1]["n"] if df.columns == ["a", "b", "ra", "rb"] else 0)
+        return out
+
+    monkeypatch.setattr(p, "materialize_with", seen)
+    base, made = [f"w{i}" for i in range(150)], {}
+    for n in (150, 600):
+        rows.clear()
+        texts = []
+        for k in range(n):  # near copies of one text, each with five words of its own
+            w = list(base)
+            for j, at in enumerate(rng.sample(range(150), 5)):
+                w[at] = f"own{n}x{k}x{j}"
+            texts.append(" ".join(w))
+        p.keep_one(table(texts)).count()
+        made[n] = sum(rows)
+    assert made[600] < 6 * made[150]
