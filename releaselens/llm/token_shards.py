@@ -26,13 +26,12 @@ from pyspark.sql import functions as F
 
 from releaselens.llm.common import by_bytes
 from releaselens.llm.encoding import encoder, vocabulary, vocabulary_size
-from releaselens.operators.ordering import running_totals
 from releaselens.session import materialize, scratch_path
 
 MAGIC = b"RANS\x01\x00\x00\x00"
 #: Frequencies add up to 2 ** SCALE; states stay in [2 ** 31, 2 ** 63).
 SCALE, LOW = 22, 1 << 31
-LANES, BLOCK = 512, 1 << 17
+LANES, BLOCK = 4096, 1 << 19
 
 
 def normalised(counts: np.ndarray) -> np.ndarray:
@@ -194,32 +193,56 @@ def _put(path: str, data: bytes) -> None:
     system.move(temporary, at)
 
 
-def tokens(docs: DataFrame, vocab: str, end_id: int | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Ids of each whole text with the end id: ``doc_id``, ``n_tokens``, ``ids`` (unsigned 32-bit, little-endian)."""
-    path = vocabulary(vocab)
+def ordered_tokens(
+    docs: DataFrame, vocab: str, end_id: int | None, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """Ids of each whole text with the end id, written in ascending order of ``doc_id``.
+
+    Texts are dealt by ranges of ``doc_id`` (nulls first; ties by hash) and encoded behind that one shuffle, so ids never
+    move. Columns: ``part``, ``at`` (number of the row in its part), ``before`` (ids before it in its part), ``doc_id``,
+    ``n_tokens`` and ``ids`` (little-endian, two bytes each where the vocabulary allows, else four).
+    """
+    path, kind = vocabulary(vocab), id_kind(vocabulary_size(vocab))
     end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        from pyspark import TaskContext
+
+        code, part, at, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         for batch in by_bytes(batches, "text", 8 << 20):
-            ids = [code.encode(t) + end for t in batch.column("text").to_pylist()]
-            n = pa.array([len(b) // 4 for b in ids], pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = [np.frombuffer(code.encode(t) + end, "<u4") for t in batch.column("text").to_pylist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            columns = [
+                pa.array(np.full(len(n), part, np.int64)),
+                pa.array(np.arange(at, at + len(n))),
+                pa.array(before + np.cumsum(n) - n),
+                batch.column("doc_id"),
+                pa.array(n),
+                pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+            ]
+            at, before = at + len(n), before + int(n.sum())
+            yield pa.record_batch(columns, ["part", "at", "before", "doc_id", "n_tokens", "ids"])
 
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = plain.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.mapInArrow(run, "part long, at long, before long, doc_id long, n_tokens long, ids binary"))
+
+
+def id_kind(size: int) -> str:
+    """How the ids of a vocabulary of ``size`` entries are kept between the two passes."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def id_counts(table: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in the column ``ids``: one row for each id and task is shuffled."""
+    kind = id_kind(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size) if len(ids) > 4 * size else 0
-                if len(ids) <= 4 * size:
-                    np.add.at(total, np.frombuffer(ids, "<u4"), 1)
+        for batch in by_bytes(batches, "ids", 8 << 20):
+            joined = b"".join(batch.column("ids").to_pylist())
+            total += np.bincount(np.frombuffer(joined, kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
 
@@ -235,46 +258,49 @@ def write_shards(
 ) -> str:
     """Encode ``docs`` and write their ids in ascending order of ``doc_id``; returns the folder.
 
-    ``start`` of a document comes from running totals over its narrow rows; ids move twice, to meet their place and to
-    meet their shard. All documents of a shard are one bounded unit of work.
+    Only texts are shuffled. The ids lie in order in their parts; the parts' totals (one row each) give every document its
+    ``start``, and each task codes the rows that it reads in place. A shard is a stretch of successive rows of one part,
+    named by part and row, so a task that runs again writes the same files.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark)
     size = vocabulary_size(vocab)
-    table = materialize(tokens(docs, vocab, end_id).withColumn("row", F.monotonically_increasing_id()))
+    kind = id_kind(size)
+    table = ordered_tokens(docs, vocab, end_id)
     freq = normalised(id_counts(table, size))
     crc = zlib.crc32(freq.astype("<u4").tobytes())
     _put(f"{path}/table/freq.bin", freq.astype("<u4").tobytes())
     _put(f"{path}/shards/_README", b"Shards of token ids; see freq.bin beside this folder.\n")
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
-    places = running_totals(table.select("doc_id", "n_tokens", "row"), order, F.col("n_tokens"), before="start")
-    places = places.select("row", "start", F.expr(f"start div {shard_tokens}").alias("shard"))
-    dealt = table.join(places, "row").repartition("shard").sortWithinPartitions("shard", "start", "row")
+    starts, total = {}, 0
+    for r in table.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one row for each part
+        starts[r["part"]], total = total, total + r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, at = Coder(freq), [], None
+        coder, held, first, next_, size_ = Coder(freq), [], None, None, 0
 
         def close() -> pa.RecordBatch:
-            docs_ = np.array([(d or 0, d is None, len(b) // 4) for _, d, b in held], _DOC)
-            ids = np.frombuffer(b"".join(b for _, _, b in held), "<u4")
-            data = shard_bytes(coder, crc, held[0][0], docs_, ids)
-            _put(f"{path}/shards/shard-{at:09d}.rans", data)
-            return pa.record_batch([pa.array([at], pa.int64()), pa.array([len(data)], pa.int64())], ["shard", "bytes"])
+            docs_ = np.array([(d or 0, d is None, n) for d, n, _ in held], _DOC)
+            ids = np.frombuffer(b"".join(b for _, _, b in held), kind).astype(np.uint32)
+            part, at, before = first
+            data = shard_bytes(coder, crc, starts[part] + before, docs_, ids)
+            _put(f"{path}/shards/shard-{part:06d}-{at:012d}.rans", data)
+            return pa.record_batch([pa.array([len(data)], pa.int64())], ["bytes"])
 
         for batch in by_bytes(batches, "ids", 8 << 20):
-            columns = [batch.column(c).to_pylist() for c in ("shard", "start", "doc_id", "ids")]
-            for shard, start, doc, ids in zip(*columns):
-                if shard != at:
-                    if held:
-                        yield close()
-                    held, at = [], shard
-                held.append((start, doc, ids))
+            columns = [batch.column(c).to_pylist() for c in ("part", "at", "before", "doc_id", "n_tokens", "ids")]
+            for part, at, before, doc, n, ids in zip(*columns):
+                if held and ((part, at) != next_ or size_ >= shard_tokens):
+                    yield close()
+                    held, size_ = [], 0
+                if not held:
+                    first = (part, at, before)
+                held.append((doc, n, ids))
+                next_, size_ = (part, at + 1), size_ + n
         if held:
             yield close()
 
-    dealt = dealt.select("shard", "start", "doc_id", "ids")
-    dealt.mapInArrow(run, "shard long, bytes long").agg(F.sum("bytes")).collect()
+    table.mapInArrow(run, "bytes long").agg(F.sum("bytes")).collect()
     return path
 
 
