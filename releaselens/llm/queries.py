@@ -61,6 +61,7 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("lost_bytes"),
     )
 
 
