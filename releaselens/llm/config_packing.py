@@ -1,10 +1,10 @@
 """Packs documents into as few sequences as it can: a configuration linear program over the length histogram.
 
 Only the histogram of piece lengths (as many rows as a sequence has places) reaches the driver, so the plan costs the same
-at any size. The program covers every length's count with configurations (multisets of lengths that fit one sequence);
-multiplicative weights price the lengths, a knapsack dynamic program finds the best configuration at those prices, and steps
-are rounded down to whole sequences. What rounding leaves is placed by best fit, largest first, on counts; the plan is
-compared with best fit on all pieces, and the better one is used.
+at any size. The program covers the count of every class of lengths with configurations (multisets of classes that fit one
+sequence); multiplicative weights price the classes, a knapsack dynamic program finds the best configuration at those
+prices, until the fractional solution is within ``TOLERANCE`` of a bound that the prices prove. The solution is rounded to
+whole sequences of real pieces. Only what rounding leaves is placed by best fit, also into the rooms of those sequences.
 
 Pieces find their places by their rank among pieces of their length. Ranks come from running totals over ranges of
 rows, so a length that a third of all pieces share is spread over as many tasks as its share; the plan's table of slots has a
@@ -16,7 +16,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,9 @@ from releaselens.llm.encoding import encoder, vocabulary
 from releaselens.operators.ordering import running_totals
 from releaselens.session import materialize
 
-SIZE, STEPS, RATE = 2048, 400, 2.0
+SIZE, STEPS, RATE, STEP, TURNS = 2048, 40_000, 8.0, 0.25, 20
+#: Solution and bound of the program differ by at most this share; classes of lengths.
+TOLERANCE, CLASSES = 0.01, 256
 
 
 def pieces(
@@ -66,13 +68,13 @@ def best_config(prices: np.ndarray, size: int) -> dict[int, int]:
     lengths = np.flatnonzero(prices > 0)
     lengths = lengths[lengths <= size]
     worth, value, pick = prices[lengths], np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(size + 1), "right")
+    upto = np.searchsorted(lengths, np.arange(size + 1), "right").tolist()
     for room in range(1, size + 1):
         k = upto[room]
         value[room] = value[room - 1]
         if k:
             gain = value[room - lengths[:k]] + worth[:k]
-            best = int(gain.argmax())
+            best = gain.argmax()
             if gain[best] > value[room]:
                 value[room], pick[room] = gain[best], lengths[best]
     out: dict[int, int] = {}
@@ -86,39 +88,131 @@ def best_config(prices: np.ndarray, size: int) -> dict[int, int]:
     return out
 
 
-def covering(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
-    """Whole sequences of a solution of the program: configurations and how often, within the counts.
+@dataclass
+class Fractional:
+    """A solution of the program: how often each configuration (length, pieces), a lower bound, and the prices that prove it.
 
-    A step takes the best configuration at the current prices as often as its scarcest length allows a share of; the price
-    of a length starts at its size and falls with the share of it that is covered.
+    At ``prices`` (by length) no configuration is worth more than 1.
     """
-    total = counts.astype(np.float64)
-    left, done = counts.copy(), np.zeros(len(counts))
-    plan: dict[tuple, int] = {}
-    sizes = np.arange(len(counts)) / size
-    for _ in range(steps):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            done = np.where(total > 0, 1 - left / total, 0)
-        prices = np.where(left > 0, sizes * np.exp(-RATE * (done - done[counts > 0].mean() if (counts > 0).any() else 0)), 0)
-        if not (prices > 0).any():
-            break
+
+    often: dict[tuple[tuple[int, int], ...], float]
+    bound: float
+    prices: np.ndarray
+
+    @property
+    def gap(self) -> float:
+        return sum(self.often.values()) / self.bound - 1
+
+
+def covering(counts: np.ndarray, size: int, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fractional:
+    """The covering program by multiplicative weights: every length's count is covered, with the fewest sequences.
+
+    A step adds the best configuration at the current prices, as often as raises the cover of no length by more than
+    ``STEP`` of its count; prices fall by powers of the cover. The solution is the sum of the steps over the least cover; it
+    starts anew with steps of half the size, at the prices reached, when all lengths are covered ``TURNS`` times.
+    Prices at which no configuration is worth more than 1 bound the optimum from below; it ends when solution and bound
+    are within ``tolerance``, or after ``steps``.
+    """
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return Fractional({}, 0.0, np.zeros(len(counts)))
+    need, place = counts[lengths].astype(np.float64), {int(l): i for i, l in enumerate(lengths)}
+    cover, heat, mean, prices = *np.zeros((3, len(lengths))), np.zeros(len(counts))
+    often: dict[tuple, float] = {}
+    total, bound, size_of_step, found = 0.0, 0.0, STEP, None
+    proof = np.zeros(len(lengths))
+
+    def best(worth: np.ndarray) -> tuple[dict[int, int], float]:
+        nonlocal bound, proof
+        prices[lengths] = worth
         config = best_config(prices, size)
-        often = min(int(left[l]) // a for l, a in config.items())
-        if not often:  # a length is too scarce for its multiplicity: leave it to best fit
-            for l, a in config.items():
-                if left[l] < a:
-                    total[l], left[l] = 0, 0
-            continue
-        often = max(1, often // 2)
+        value = sum(worth[place[l]] * a for l, a in config.items())
+        if worth @ need > bound * value:
+            bound, proof = float(worth @ need) / value, worth / value
+        return config, value
+
+    for step in range(1, steps + 1):
+        worth = lengths / size * np.exp(heat.min() - heat)
+        config, value = best(worth)
+        mean += worth / value
+        much = size_of_step * min(need[place[l]] / a for l, a in config.items())
         for l, a in config.items():
-            left[l] -= a * often
+            cover[place[l]] += a * much / need[place[l]]
+            heat[place[l]] += RATE * a * much / need[place[l]]
         key = tuple(sorted(config.items(), reverse=True))
-        plan[key] = plan.get(key, 0) + often
-    return [(dict(k), n) for k, n in plan.items()]
+        often[key] = often.get(key, 0.0) + much
+        total += much
+        least = float(cover.min())
+        if least and (found is None or total / least < found[0]):
+            found = (total / least, least, often) if least >= TURNS else found
+            if total / least <= bound * (1 + tolerance):
+                found = total / least, least, often
+                break
+        if least >= TURNS:
+            best(mean)
+            size_of_step, total, often, cover, mean = size_of_step / 2, 0.0, {}, *np.zeros((2, len(lengths)))
+        elif step % 250 == 0:
+            best(mean)
+    if found is None:  # too few steps for a first solution: lengths that none reached stay uncovered
+        found = total, float(cover.min() or cover[cover > 0].min()), often
+    _, least, often = found
+    prices[lengths] = proof
+    return Fractional({k: n / least for k, n in often.items()}, bound, prices)
+
+
+def rounded(
+    solution: Fractional, counts: np.ndarray, tolerance: float = TOLERANCE
+) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Whole sequences within the counts: whole parts first, then one more each while pieces last.
+
+    Configurations of few, long pieces come first, those by falling fraction: best fit finds room for short ones more easily.
+    An optimal solution uses only configurations of worth 1; those further below than ``tolerance`` are left out.
+    """
+    left, whole = counts.copy(), {}
+    worth = {c: sum(float(solution.prices[l]) * a for l, a in c) for c in solution.often}
+    good = [(c, n) for c, n in solution.often.items() if worth[c] >= 1 - tolerance]
+
+    def take(config: tuple, n: int) -> None:
+        n = min(n, *(int(left[l]) // a for l, a in config))
+        if n > 0:
+            whole[config] = whole.get(config, 0) + n
+            for l, a in config:
+                left[l] -= a * n
+
+    for config, n in sorted(good, key=lambda x: (-worth[x[0]], x[0])):
+        take(config, int(n))
+    for config, n in sorted(good, key=lambda x: (sum(a for _, a in x[0]), int(x[1]) - x[1], x[0])):
+        take(config, 1)
+    return list(whole.items())
+
+
+def of_lengths(plan: list[tuple[tuple, int]], counts: np.ndarray, unit: int) -> list[tuple[tuple, int]]:
+    """Configurations of classes as configurations of lengths: each class gives its longest pieces first."""
+    stock: dict[int, list[list[int]]] = {}
+    for l in np.flatnonzero(counts):
+        stock.setdefault(-(-int(l) // unit), []).append([int(l), int(counts[l])])
+    out = []
+    for config, n in plan:
+        while n:
+            # As many sequences as need no second length of a class, else one of mixed lengths.
+            alike = min(n, *(stock[k][-1][1] // a for k, a in config))
+            parts: dict[int, int] = {}
+            for k, a in config:
+                for _ in range(1 if alike else a):
+                    length, each = stock[k][-1][0], a if alike else 1
+                    parts[length] = parts.get(length, 0) + each
+                    stock[k][-1][1] -= each * max(alike, 1)
+                    if not stock[k][-1][1]:
+                        stock[k].pop()
+            out.append((tuple(parts.items()), max(alike, 1)))
+            n -= max(alike, 1)
+    return out
 
 
-def best_fit(counts: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, largest first, on counts: sequences of one pattern and room are one entry."""
+def best_fit(
+    counts: np.ndarray, size: int, begun: Sequence[tuple[tuple, int]] = ()
+) -> list[tuple[dict[int, int], int]]:
+    """Best fit, largest first, on counts, also into the rooms of ``begun``; sequences of one pattern and room are one entry."""
     room: dict[int, list[tuple[tuple, int]]] = {}
     full: dict[tuple, int] = {}
 
@@ -128,6 +222,8 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
         else:
             full[pattern] = full.get(pattern, 0) + n
 
+    for pattern, n in begun:
+        put(pattern, size - sum(l * a for l, a in pattern), n)
     for l in range(min(size, len(counts) - 1), 0, -1):
         left = int(counts[l])
         for space in sorted(s for s in room if s >= l):
@@ -157,18 +253,28 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
     return [({l: sum(a for x, a in p if x == l) for l, _ in p}, n) for p, n in out.items()]
 
 
+def program(counts: np.ndarray, size: int, steps: int = STEPS) -> list[tuple[tuple, int]]:
+    """Sequences by the configuration program, solved and rounded.
+
+    Lengths of ``size`` / ``CLASSES`` tokens share a class and count as its longest, so the program has at most
+    ``CLASSES`` rows.
+    """
+    unit = max(1, size // CLASSES)
+    classes = np.zeros(-(-size // unit) + 1, np.int64)
+    np.add.at(classes, -(-np.arange(len(counts)) // unit), counts)
+    return of_lengths(rounded(covering(classes, size // unit, steps), classes), counts, unit)
+
+
 def solve(counts: np.ndarray, size: int = SIZE, steps: int = STEPS) -> list[tuple[dict[int, int], int]]:
-    """The plan with the fewest sequences: configurations and how often each; every piece has a place."""
+    """Configurations and how often each; every piece has a place. Best fit places what the program's rounding leaves."""
     whole = [({size: 1}, int(counts[size]))] if counts[size] else []
-    rest = counts.copy()
-    rest[size] = 0
-    rounded = covering(rest, size, steps)
-    left = rest.copy()
-    for config, n in rounded:
-        for l, a in config.items():
+    left = counts.copy()
+    left[size] = 0
+    plan = program(left, size, steps)
+    for config, n in plan:
+        for l, a in config:
             left[l] -= a * n
-    plans = [rounded + best_fit(left, size), best_fit(rest, size)]
-    return whole + min(plans, key=lambda p: sum(n for _, n in p))
+    return whole + best_fit(left, size, plan)
 
 
 @dataclass

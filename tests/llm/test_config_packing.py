@@ -32,12 +32,57 @@ def test_plan_is_whole_and_near_the_bound(kind):
         np.zeros(0, int),
     ][kind]
     counts = np.bincount(lengths, minlength=size + 1)
-    used = filled(c.solve(counts, size, 100), size, counts)
+    used = filled(c.solve(counts, size), size, counts)
     bound = max(-(-int(lengths.sum()) // size), int((lengths > size // 2).sum()))
     if kind == 3:
         bound = 500  # two of 86 fit
     assert used <= bound * 1.02 + 2
-    assert used <= sum(n for _, n in c.best_fit(counts, size)) + 0
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_program_is_solved_to_its_tolerance(kind):
+    rng, size = np.random.default_rng(kind), [24, 24, 20, 40][kind]
+    lengths = [
+        rng.integers(1, 25, 900),
+        rng.integers(9, 25, 900),  # few fill a sequence: the bound by sizes is far below the optimum
+        np.array([11] * 7 + [3]),
+        rng.geometric(0.1, 5000).clip(1, 39),
+    ][kind]
+    counts = np.bincount(lengths, minlength=size + 1)
+    found = c.covering(counts, size)
+    assert found.gap <= c.TOLERANCE + 1e-9
+    cover = np.zeros(size + 1)
+    for config, often in found.often.items():
+        assert often > 0 and sum(l * a for l, a in config) <= size
+        for l, a in config:
+            cover[l] += a * often
+    assert (cover >= counts * (1 - 1e-9)).all()
+    # The bound by duality: no configuration is worth more than 1 at the prices (best of each room by brute force).
+    best = [0.0] * (size + 1)
+    for room in range(1, size + 1):
+        best[room] = max([best[room - 1]] + [best[room - l] + found.prices[l] for l in range(1, room + 1)])
+    assert best[size] <= 1 + 1e-9 and found.bound == pytest.approx(float(found.prices @ counts))
+
+
+def test_program_places_most_pieces():
+    lengths = np.random.default_rng(5).lognormal(5.5, 1.0, 20_000).astype(int).clip(1, 2047)
+    counts = np.bincount(lengths, minlength=2049)
+    plan = c.program(counts, 2048)
+    placed = sum(n * sum(a for _, a in config) for config, n in plan)
+    assert placed >= 0.5 * len(lengths)
+    used = filled(c.solve(counts), 2048, counts)
+    assert used <= lengths.sum() / 2048 * 1.01 + 1
+
+
+def test_classes_give_all_their_lengths():
+    counts = np.zeros(65, np.int64)
+    counts[[33, 34, 36]] = [5, 1, 4]
+    plan = c.of_lengths([(((9, 1),), 3), (((9, 2),), 3)], counts, 4)
+    got = np.zeros_like(counts)
+    for config, n in plan:
+        for l, a in config:
+            got[l] += a * n
+    assert (got[[33, 34, 36]] <= counts[[33, 34, 36]]).all() and got.sum() == 9 and got[[34, 36]].sum() == 5
 
 
 def test_knapsack_against_brute_force():
