@@ -5,8 +5,9 @@ the highest grade select documents. The fit uses a bounded sample of the labelle
 hash): features are written once, each step sums gradients over a fixed number of partitions. Scoring covers all rows.
 
 Grades of the tables at hand: 0 toxic, 1 poor quality, 2 good. Null texts are empty texts (shape features only); rows with
-null labels are not fitted; repeated rows score alike; a fit without rows raises; an empty table scores to an empty
-result.
+null labels are not fitted; of several labels of one id the least grade counts; rows with equal id and text are fitted
+once and score alike. ``fit`` without rows raises ``NoLabels``; ``scored`` then gives null scores and verdicts. An empty
+table scores to an empty result. Input columns named like the new ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from releaselens.llm.common import by_bytes
+from releaselens.llm.common import by_bytes, free_name, text_digest
 from releaselens.session import materialize
 
 WORDS, SHAPES = 1 << 16, 1 << 10
@@ -66,6 +67,10 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(_BUCKETS.__getitem__, [*different, *shape]), np.int32))
 
 
+class NoLabels(ValueError):
+    """No labelled document to fit."""
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -79,7 +84,8 @@ class Model:
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``grade`` of the labelled documents: 0 toxic, 1 poor, 2 good."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    known = labels.select("doc_id", grade.alias("grade")).where("grade is not null").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", grade.alias("grade")).where("grade is not null")
+    known = known.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
@@ -104,23 +110,40 @@ def _sure(table: DataFrame, counts: dict[int, int]) -> np.ndarray:
     return (z > SURE).astype(np.float64)
 
 
+def likelihood(xs: list[np.ndarray], y: np.ndarray, weights: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Gradient of the negative log-likelihood by weights, then by thresholds, and its value, in one array."""
+    edges = np.concatenate([[-np.inf], cut, [np.inf]])
+    idx, row = np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    s = np.bincount(row, weights[idx], len(xs))
+    low, high = (1 / (1 + np.exp(np.clip(s - edges[y + k], -40, 40))) for k in (0, 1))
+    p = np.maximum(high - low, 1e-12)
+    dl, dh = low * (1 - low) / p, high * (1 - high) / p
+    gw = np.bincount(idx, (dh - dl)[row], DIMS)
+    # Threshold k is the upper edge of grade k, the lower one of k + 1.
+    gt = [dl[y == k + 1].sum() - dh[y == k].sum() for k in range(len(cut))]
+    return np.concatenate([gw, gt, [-np.log(p).sum()]])
+
+
 def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int = STEPS) -> Model:
     """Fit by full-batch steps with a rate of its own for each weight."""
     order = F.xxhash64("doc_id", F.lit("fit"))
-    chosen = rows.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(fit_rows)
-    chosen = materialize(chosen.select("doc_id").distinct())
+    rows = rows.select("doc_id", "text", F.col("grade").cast("int").alias("grade"), text_digest("text").alias("d"))
+    key = ["doc_id", "d", "grade"]
+    # One row an id, text and grade: repeated ones cannot pass the bound.
+    chosen = rows.select(*key, order.alias("h")).distinct().orderBy("h", *key).limit(fit_rows)
+    chosen = materialize(chosen.select(*key))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 16 << 20):
             x = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("grade"), pa.array(x, pa.binary())], ["grade", "x"])
 
-    table = rows.join(chosen, "doc_id", "left_semi").select("text", F.col("grade").cast("int"))
+    table = rows.join(chosen, key, "left_semi").dropDuplicates(key).select("text", "grade")
     table = materialize(table.mapInArrow(extract, "grade int, x binary").repartition(PARTS))
     counts = {r["grade"]: r["count"] for r in table.groupBy("grade").count().collect()}  # one row a grade
     total = sum(counts.values())
     if not total:
-        raise ValueError("no labelled rows to fit")
+        raise NoLabels("no labelled rows to fit")
     at_most = np.cumsum([counts.get(k, 0) + 0.5 for k in range(grades)])[:-1] / (total + 0.5 * grades)
     theta = np.log(at_most / (1 - at_most))
     values = _sure(table, counts)
@@ -130,22 +153,11 @@ def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int =
         w32, cut = (w * values).astype(np.float32), theta.copy()
 
         def gradient(batches: Iterator[pa.RecordBatch], w32=w32, cut=cut) -> Iterator[pa.RecordBatch]:
-            gw, gt, loss = np.zeros(DIMS), np.zeros(grades - 1), 0.0
-            edges = np.concatenate([[-np.inf], cut, [np.inf]])
+            out = np.zeros(DIMS + grades)
             for batch in batches:
                 xs = [np.frombuffer(b, np.int32) for b in batch.column("x").to_pylist()]
-                y = batch.column("grade").to_numpy()
-                idx, sizes = np.concatenate(xs), np.array([len(x) for x in xs])
-                row = np.repeat(np.arange(len(xs)), sizes)
-                s = np.bincount(row, w32[idx], len(xs))
-                low, high = (1 / (1 + np.exp(np.clip(s - edges[y + k], -40, 40))) for k in (0, 1))
-                p = np.maximum(high - low, 1e-12)
-                dl, dh = low * (1 - low) / p, high * (1 - high) / p
-                loss -= np.log(p).sum()
-                gw += np.bincount(idx, (dh - dl)[row], DIMS)
-                for k in range(grades - 1):  # threshold k is the upper edge of grade k, the lower one of k + 1
-                    gt[k] += dl[y == k + 1].sum() - dh[y == k].sum()
-            out = np.concatenate([gw, gt, [loss]])
+                if xs:
+                    out += likelihood(xs, batch.column("grade").to_numpy(), w32, cut)
             yield pa.record_batch([pa.array([out.tobytes()], pa.binary())], ["g"])
 
         parts = table.mapInArrow(gradient, "g binary").collect()  # PARTS rows of fixed size
@@ -161,15 +173,26 @@ def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int =
 def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """Add ``expected_grade``, ``tail_probability`` (of the highest grade) and ``kept`` to every row; the text goes."""
     others = [c for c in docs.columns if c != text and c not in ("expected_grade", "tail_probability", "kept")]
+    scored_text = free_name(others, "_scored")
     kept = docs.select(*[F.col(f"`{c}`") for c in others])
     schema = kept.schema.add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "_scored", 16 << 20):
-            s = np.array([model.weights[features(t)].sum() for t in batch.column("_scored").to_pylist()], np.float64)
+        for batch in by_bytes(batches, scored_text, 16 << 20):
+            s = np.array([model.weights[features(t)].sum() for t in batch.column(scored_text).to_pylist()], np.float64)
             tails = model.tails(s)
             own = [pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)]
             names = [*others, "expected_grade", "tail_probability", "kept"]
             yield pa.record_batch([*[batch.column(c) for c in others], *own], names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias("_scored")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(scored_text)).mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` by a model of the labelled documents; without any, scores and verdicts are null."""
+    try:
+        return score(docs, fit(graded(docs, labels)))
+    except NoLabels:
+        new = {"expected_grade": "double", "tail_probability": "double", "kept": "boolean"}
+        others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in new]
+        return docs.select(*others, *[F.lit(None).cast(kind).alias(c) for c, kind in new.items()])

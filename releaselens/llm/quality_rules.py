@@ -228,8 +228,9 @@ def kept_rows(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
         columns[text].alias("text"), columns[lang].alias("lang"), columns[source].alias("source"), text_digest(text).alias("d")
     )
     verdicts = judge(plain, keep=["d", "lang", "source"]).where("not kept")
-    bad = verdicts.select(*[F.col(f"doc.{c}").alias(f"_bad_{c}") for c in ("d", "lang", "source")]).distinct()
+    names = {c: free_name(docs, f"_bad_{c}") for c in ("d", "lang", "source")}
+    bad = verdicts.select(*[F.col(f"doc.{c}").alias(name) for c, name in names.items()]).distinct()
     rows = docs.withColumn(d, text_digest(text))
-    same = (F.col(f"`{d}`") == F.col("_bad_d")) & columns[lang].eqNullSafe(F.col("_bad_lang"))
-    same = same & columns[source].eqNullSafe(F.col("_bad_source"))
+    same = (F.col(f"`{d}`") == F.col(names["d"])) & columns[lang].eqNullSafe(F.col(names["lang"]))
+    same = same & columns[source].eqNullSafe(F.col(names["source"]))
     return rows.join(bad, same, "left_anti").drop(d)

@@ -48,9 +48,8 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_ordinal_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    graded = ordinal_classifier.graded(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    model = ordinal_classifier.fit(graded)
-    return ordinal_classifier.score(docs, model).select("doc_id", "expected_grade", "tail_probability", "kept")
+    found = ordinal_classifier.scored(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return found.select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

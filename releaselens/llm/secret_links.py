@@ -14,8 +14,9 @@ empty result. ``redact`` keeps all columns, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,29 +78,30 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 
 
 def parts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Base and weak spans of each whole text beside the columns ``keep``."""
+    """Base and weak spans of each whole text beside the columns ``keep``: ``_base``, ``_weak``, or names not taken."""
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = kept.schema.add("_base", spark_type(_SPAN)).add("_weak", spark_type(_SPAN))
+    base_name, weak_name, scanned = (free_name(docs, c) for c in ("_base", "_weak", "_scanned"))
+    schema = kept.schema.add(base_name, spark_type(_SPAN)).add(weak_name, spark_type(_SPAN))
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_rows = lambda s: [{"kind": k, "start": a, "end": b} for k, a, b in s]
-        for batch in by_bytes(batches, "_scanned", 16 << 20):
+        for batch in by_bytes(batches, scanned, 16 << 20):
             found = []
-            for t in batch.column("_scanned").to_pylist():
+            for t in batch.column(scanned).to_pylist():
                 base = base_spans(t or "")
                 found.append((as_rows(base), as_rows(weak_spans(t or "", base))))
             both = [pa.array([f[k] for f in found], spans) for k in (0, 1)]
-            yield pa.record_batch([*[batch.column(c) for c in keep], *both], [*keep, "_base", "_weak"])
+            yield pa.record_batch([*[batch.column(c) for c in keep], *both], [*keep, base_name, weak_name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_scanned")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(scanned)).mapInArrow(run, schema)
 
 
-def linked(table: DataFrame, row: str) -> DataFrame:
-    """Weak spans with their complement in scope: ``row``, ``kind``, ``start``, ``end``."""
+def linked(table: DataFrame) -> DataFrame:
+    """Weak spans with their complement in scope, from ``row``, ``_base``, ``_weak``: ``row``, ``kind``, ``start``, ``end``."""
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    both = table.where(F.size("_weak") > 0).select(row, F.explode(F.concat("_base", "_weak")).alias("s"))
-    spans = both.select(F.col(row).alias("row"), "s.kind", "s.start", "s.end").withColumn("role", role[F.col("kind")])
+    both = table.where(F.size("_weak") > 0).select("row", F.explode(F.concat("_base", "_weak")).alias("s"))
+    spans = both.select("row", "s.kind", "s.start", "s.end").withColumn("role", role[F.col("kind")])
     early = spans.select(
         "*", F.explode(F.sequence(F.expr(f"start div {SCOPE}"), F.expr(f"(end + {SCOPE}) div {SCOPE}"))).alias("cell")
     )
@@ -130,22 +132,28 @@ def linked(table: DataFrame, row: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns but the text; no name may begin with ``_``), ``base`` and ``spans``: arrays of (kind, start, end) by start and kind."""
+    """``keep`` (all columns but the text), ``base`` and ``spans``: arrays of (kind, start, end) by start and kind.
+
+    Where a kept column has one of these names, the new one has underscores before it.
+    """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    row = free_name([*docs.columns, "base", "spans"], "_row")
+    base_name, weak_name, row, at, extra = (free_name(docs, c) for c in ("_base", "_weak", "_row", "_at", "_more"))
     table = materialize(parts(docs, keep, text).withColumn(row, F.monotonically_increasing_id()))
+    narrow = table.select(
+        F.col(f"`{row}`").alias("row"), F.col(f"`{base_name}`").alias("_base"), F.col(f"`{weak_name}`").alias("_weak")
+    )
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     own = F.struct("kind", "start", "end")
-    more = linked(table, row).groupBy("row").agg(F.collect_list(own).alias("_more")).withColumnRenamed("row", "_at")
+    more = linked(narrow).groupBy(F.col("row").alias(at)).agg(F.collect_list(own).alias(extra))
     none = F.array().cast(_SPAN)
-    every = F.concat("_base", F.coalesce("_more", none))
+    every = F.concat(f"`{base_name}`", F.coalesce(F.col(f"`{extra}`"), none))
     keyed = F.transform(
         every, lambda s: F.struct(s["start"].alias("a"), order[s["kind"]].alias("k"), s["end"].alias("b"), s.alias("s"))
     )
-    out = table.join(more, table[row] == more["_at"], "left")
+    out = table.join(more, F.col(f"`{row}`") == F.col(f"`{at}`"), "left")
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.col("_base").alias(free_name(keep, "base")),
+        F.col(f"`{base_name}`").alias(free_name(keep, "base")),
         F.transform(F.array_sort(keyed), lambda x: x["s"]).alias(free_name(keep, "spans")),
     )
 
@@ -165,28 +173,31 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def masked(text: str, starts: Iterable[int], ends: Iterable[int], mask: str) -> str:
+    """The text with the spans, sorted by start, replaced; overlapping spans count as one. Linear in the text."""
+    out, at = [], 0
+    for start, end in zip(starts, ends):
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, text: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span replaced by ``mask``; rows without one are unchanged. Spans are joined by text digest."""
-    d, spans = free_name(docs, "_digest"), free_name(docs, "_spans")
+    d, spans, met_by = (free_name(docs, c) for c in ("_digest", "_spans", "_found_d"))
     narrow = docs.select(text_digest(text).alias("d"), F.col(f"`{text}`").alias("text"))
     found = scan(narrow).where(F.size("spans") > 0).dropDuplicates(["d"])
-    found = found.select(F.col("d").alias("_found_d"), F.col("spans").alias(spans))
-    met = docs.withColumn(d, text_digest(text)).join(found, F.col(f"`{d}`") == F.col("_found_d"), "left")
-    # Overlapping spans count as one: pieces of text between their running ends.
-    state = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.when(
-                    s["start"] >= acc["at"],
-                    F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)),
-                ).otherwise(F.lit("")),
-            ).alias("out"),
-        ),
-    )
-    clean = F.concat(state["out"], F.substring(F.col(text), state["at"] + 1, F.length(text)))
-    new = F.when(F.size(spans) > 0, clean).otherwise(F.col(text))
+    found = found.select(F.col("d").alias(met_by), F.col("spans").alias(spans))
+    met = docs.withColumn(d, text_digest(text)).join(found, F.col(f"`{d}`") == F.col(f"`{met_by}`"), "left")
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        rows = zip(texts, starts, ends)
+        return pd.Series([None if t is None else masked(t, a, b, mask) for t, a, b in rows], dtype=object)
+
+    hit = F.col(f"`{spans}`").isNotNull()
+    side = lambda name: F.transform(f"`{spans}`", lambda s: s[name])
+    # Texts without a span do not go to Python.
+    new = F.when(hit, clean(F.when(hit, F.col(f"`{text}`")), side("start"), side("end"))).otherwise(F.col(f"`{text}`"))
     return met.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

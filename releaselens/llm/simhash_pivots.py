@@ -448,9 +448,10 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     labels = similar_components(members, sets)
     found = nodes.select("id", "s").join(labels, F.col("id") == F.col("node"), "left")
     stay = found.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("s").alias("s"))
-    stay = materialize(stay.select(F.col("s.doc_id").alias("_stay_id"), F.col("s.d").alias("_stay_d")))
+    stay_id, stay_d = free_name(docs, "_stay_id"), free_name(docs, "_stay_d")
+    stay = materialize(stay.select(F.col("s.doc_id").alias(stay_id), F.col("s.d").alias(stay_d)))
     rows = docs.withColumn(d, text_digest(text))
-    same = (F.col(f"`{d}`") == F.col("_stay_d")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_stay_id"))
+    same = (F.col(f"`{d}`") == F.col(stay_d)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(stay_id))
     alike = Window.partitionBy(d, doc_id).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     met = rows.join(stay, same, "left_semi").withColumn(nth, F.row_number().over(alike))
     return met.where(F.col(f"`{nth}`") == 1).drop(d, nth)

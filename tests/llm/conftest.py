@@ -1,6 +1,8 @@
 import pytest
 
 CLASHES = ["n_words", "kept", "doc", "row", "_row", "words", "items", "spans", "fp", "root", "_words", "_lang", "ids"]
+CLASHES += ["_base", "_weak", "_scanned", "_more", "_at", "_found_d", "_bad_d", "_bad_lang", "_bad_source"]
+CLASHES += ["_stay_id", "_stay_d", "_scored", "_digest", "_spans"]
 
 
 @pytest.fixture(scope="session")

@@ -17,6 +17,39 @@ def test_gradient_of_the_likelihood():
     assert (tails[:, 0] >= tails[:, 1]).all()
 
 
+def test_likelihood_against_numeric_gradient():
+    rng = np.random.default_rng(3)
+    xs = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(40)]
+    y = rng.integers(0, 3, 40)
+    w, cut = np.zeros(o.DIMS), np.array([-0.4, 0.9])
+    w[:12] = rng.normal(size=12)
+    p = np.diff([[0, 1 / (1 + np.exp(w[x].sum() - cut[0])), 1 / (1 + np.exp(w[x].sum() - cut[1])), 1] for x in xs], axis=1)
+    found = o.likelihood(xs, y, w, cut)
+    assert found[-1] == pytest.approx(-np.log(p[np.arange(40), y]).sum())
+    for k in [*range(12), o.DIMS, o.DIMS + 1]:
+        sides = []
+        for step in (1e-5, -1e-5):
+            a, b = w.copy(), cut.copy()
+            (a if k < o.DIMS else b)[k % o.DIMS] += step
+            sides.append(o.likelihood(xs, y, a, b)[-1])
+        assert found[k] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-6)
+    assert not found[12 : o.DIMS].any()
+
+
+def test_conflicts_repeats_and_tables_without_labels(spark, table):
+    docs = table(["good text"] * 3 + ["bad text"], [1, 1, 1, 2], clash=True)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {(r["doc_id"], r["grade"]) for r in o.graded(docs, labels).collect()} == {(1, 1), (2, 0)}
+    out = o.scored(docs, labels)
+    assert out.count() == 4 and set(out.columns) == {c for c in docs.columns if c != "text"} | {
+        "expected_grade", "tail_probability", "kept"
+    }
+    none = o.scored(docs, labels.limit(0))
+    assert none.columns == out.columns and none.dtypes == out.dtypes
+    assert [r["kept"] for r in none.collect()] == [None] * 4
+    assert o.scored(docs.limit(0), labels).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

@@ -101,3 +101,17 @@ def test_redaction_keeps_rows_and_columns(table):
     got = sorted((r["text"] for r in out.collect()), key=str)
     assert got == sorted(["é [REDACTED] x [REDACTED] y", "clean", None, "", "[REDACTED] [REDACTED]"], key=str)
     assert s.redact(df.limit(0)).count() == 0
+    found = s.scan(df)
+    assert set(found.columns) >= set(df.columns) - {"text"} and found.count() == 5
+    assert s.scan(df.limit(0)).count() == 0
+
+
+def test_masking_is_linear_in_a_long_text(table):
+    part = f"{KEY} é filler words "
+    text = part * (5_000_000 // len(part))
+    assert s.redact(table([text])).first()["text"] == "[REDACTED] é filler words " * (5_000_000 // len(part))
+
+
+def test_overlapping_spans_are_masked_once():
+    assert s.masked("abcdefgh", [1, 2, 5], [4, 3, 6], "*") == "a*e*gh"
+    assert s.masked("abc", [], [], "*") == "abc"
