@@ -5,8 +5,8 @@ the highest grade select documents. The fit uses a bounded sample of the labelle
 hash): features are written once, each step sums gradients over a fixed number of partitions. Scoring covers all rows.
 
 Grades of the tables at hand: 0 toxic, 1 poor quality, 2 good. Null texts are empty texts (shape features only); rows with
-null labels are not fitted; of several labels of one id the least grade counts; rows with equal id and text are fitted
-once and score alike. ``fit`` without rows raises ``NoLabels``; ``scored`` then gives null scores and verdicts. An empty
+null labels are not fitted; of several labels of one id the least grade counts; of several rows of one
+id the one of least grade and feature bytes is fitted, all are scored. ``fit`` without rows raises ``NoLabels``; ``scored`` then gives null scores and verdicts. An empty
 table scores to an empty result. Input columns named like the new ones are replaced by them.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from releaselens.llm.common import by_bytes, free_name, text_digest
+from releaselens.llm.common import by_bytes, free_name
 from releaselens.session import materialize
 
 WORDS, SHAPES = 1 << 16, 1 << 10
@@ -127,19 +127,19 @@ def likelihood(xs: list[np.ndarray], y: np.ndarray, weights: np.ndarray, cut: np
 def fit(rows: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS, steps: int = STEPS) -> Model:
     """Fit by full-batch steps with a rate of its own for each weight."""
     order = F.xxhash64("doc_id", F.lit("fit"))
-    rows = rows.select("doc_id", "text", F.col("grade").cast("int").alias("grade"), text_digest("text").alias("d"))
-    key = ["doc_id", "d", "grade"]
-    # One row an id, text and grade: repeated ones cannot pass the bound.
-    chosen = rows.select(*key, order.alias("h")).distinct().orderBy("h", *key).limit(fit_rows)
-    chosen = materialize(chosen.select(*key))
+    chosen = rows.select("doc_id", order.alias("h")).distinct().orderBy("h", "doc_id").limit(fit_rows)
+    chosen = materialize(chosen.select("doc_id"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grade int, x binary"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 16 << 20):
             x = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("grade"), pa.array(x, pa.binary())], ["grade", "x"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("grade"), pa.array(x, pa.binary())], ["doc_id", "grade", "x"])
 
-    table = rows.join(chosen, key, "left_semi").dropDuplicates(key).select("text", "grade")
-    table = materialize(table.mapInArrow(extract, "grade int, x binary").repartition(PARTS))
+    table = rows.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).join(chosen, "doc_id", "left_semi")
+    # One row an id, so that repeated ids cannot pass the bound; features move, texts do not.
+    table = table.mapInArrow(extract, schema).groupBy("doc_id").agg(F.min(F.struct("grade", "x")).alias("r"))
+    table = materialize(table.select("r.grade", "r.x").repartition(PARTS))
     counts = {r["grade"]: r["count"] for r in table.groupBy("grade").count().collect()}  # one row a grade
     total = sum(counts.values())
     if not total:
