@@ -3,9 +3,10 @@ import itertools
 import random
 from collections import Counter, deque
 
+import numpy as np
 import pytest
 
-from releaselens.operators import graph, pairs
+from releaselens.operators import graph, pairs, traversal
 
 GRAPHS = {
     "star": ("cabd", [("c", "a"), ("c", "b"), ("c", "d")]),
@@ -94,6 +95,46 @@ def test_sampled_betweenness_scales_up(frames):
     assert got["star"] == pytest.approx(1.0) and got["long"] > 0
 
 
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_searches_inside_tasks_and_over_joins_agree(spark, frames, local):
+    labels = graph.component_labels(*frames)
+    assert {(r["release"], r["label"]) for r in labels.collect()} >= {("two", "a"), ("two", "d"), ("two", "g")}
+    got = by_release(graph.betweenness_of(labels, *frames, local=local), "max_betweenness")
+    assert got["star"] == pytest.approx(1.0) and got["long"] == pytest.approx(20 / 36)
+    got = by_release(graph.diameter_of(labels, *frames, block=2, local=local), "diameter")
+    assert got == {"star": 2, "path": 3, "cycle": 2, "two": 1, "single": 0, "pair": 1, "long": 9}
+    got = by_release(graph.closeness_of(labels, *frames, block=3, wave=1, local=local), "avg_closeness")
+    assert got["pair"] == 1.0 and got["two"] == 0.0 and got["single"] == 0.0
+
+
+def test_tasks_search_all_components_of_a_graph_without_a_job_a_level(spark, monkeypatch):
+    """Several components, one with more sources than a group seats; no level is a job."""
+    monkeypatch.setattr(graph, "shortest_path_loads", None)
+    monkeypatch.setattr(graph, "reach", None)
+    ring = [f"r{i:02d}" for i in range(21)]
+    edges = [*zip(ring, ring[1:]), (ring[0], ring[-1]), ("x", "y"), ("y", "z")]
+    n = spark.createDataFrame([("g", x) for x in [*ring, "x", "y", "z", "alone"]], "release string, node string")
+    e = spark.createDataFrame([("g", min(p), max(p), 1) for p in edges], "release string, a string, b string, weight int")
+    monkeypatch.setattr(traversal, "SEATS", 4)
+    monkeypatch.setattr(traversal, "TINY", 4)
+    labels = graph.component_labels(n, e)
+    assert {r["label"] for r in labels.collect()} == {"r00", "x", "alone"}
+    assert graph.diameter_of(labels, n, e).first()["diameter"] == 10
+    # in a ring of 21 nodes each node lies inside the paths of 45 of the 190 pairs of others
+    assert graph.betweenness_of(labels, n, e).first()["max_betweenness"] == pytest.approx(45 / (24 * 23 / 2))
+
+
+def test_sums_over_neighbours_of_hubs():
+    """A hub with more neighbours than are added rank by rank."""
+    n = traversal.RANKS + 40
+    node, other = np.array([0] * (n - 1) + [*range(1, n)]), np.array([*range(1, n)] + [0] * (n - 1))
+    gather, place = traversal._sums_over_neighbours(np.searchsorted(node, np.arange(n)), other)
+    rows = np.arange(1.0, n + 1)[:, None]
+    placed = np.empty_like(rows)
+    placed[place] = rows
+    assert gather(placed)[place][:, 0].tolist() == [rows[1:].sum(), *[1.0] * (n - 1)]
+
+
 def test_larger_graph_against_search(spark):
     rng = random.Random(5)
     nodes = [f"n{i:03d}" for i in range(90)]
