@@ -203,6 +203,21 @@ def test_developer_pairs_and_coupling_with_hot_groups(spark, touches, tile):
     assert [t[2] for t in top] == sorted(want.values(), reverse=True)[:3]
 
 
+def test_pairs_are_spread_over_tasks_by_their_number(spark, touches, monkeypatch):
+    df, rows = touches
+    asked = []
+    plain = pairs.materialize_in
+    monkeypatch.setattr(pairs, "materialize_in", lambda d, parts: asked.append(parts) or plain(d, parts))
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 30)
+    got = {(r["developer1"], r["developer2"]): r["shared_files"] for r in pairs.developer_pairs(df).collect()}
+    want = Counter()
+    for f in {r[0] for r in rows}:
+        want.update(itertools.combinations(sorted({r[1] for r in rows if r[0] == f}), 2))
+    assert got == dict(want) and asked == [-(-sum(want.values()) // 30)] and asked[0] > 4
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
 @pytest.mark.parametrize("tile", [4096, 4])
 def test_cocommit_edges_match_nested_loops(spark, touches, tile):
     df, rows = touches
