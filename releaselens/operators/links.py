@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from releaselens.functions import scalars as S
 from releaselens.operators.ordering import exact_quantiles
+from releaselens.session import materialize
 from releaselens.sources.records import explode_delimited
 
 ATTRIBUTES = ("status", "resolution", "priority", "type", "fix_versions", "assignee", "reporter")
@@ -53,6 +54,9 @@ def commit_issue_links(commits: DataFrame, issues: DataFrame, keys: str = "jira_
 
 def issue_metrics(links: DataFrame) -> DataFrame:
     """Commit totals, developers, lags and attributes per referenced issue."""
+    used = ("jira_key", "commit_hash", "author_name", "insertions", "deletions", "churn", "num_files", "commit_date")
+    lags = ("days_after_issue_created", "days_before_issue_resolved", "issue_created", "issue_resolved")
+    links = materialize(links.select(*used, *lags, *ATTRIBUTES))
     rows = links.groupBy("jira_key").agg(
         F.count_distinct("commit_hash").alias("num_commits"),
         F.sum("insertions").alias("total_insertions"),
@@ -66,9 +70,11 @@ def issue_metrics(links: DataFrame) -> DataFrame:
         F.min("days_before_issue_resolved").alias("days_from_last_commit_to_resolution"),
         F.max("issue_created").alias("created"),
         F.max("issue_resolved").alias("resolved"),
-        # One value per issue, so any order-free pick is the first one.
-        *[F.max(c).alias(c) for c in ATTRIBUTES],
     )
+    # One value per issue, so any order-free pick is the first one. Largest texts need sorted rows: of different ones only.
+    told = links.select("jira_key", *ATTRIBUTES).distinct()
+    told = told.groupBy(F.col("jira_key").alias("_key")).agg(*[F.max(c).alias(c) for c in ATTRIBUTES])
+    rows = rows.join(told, F.col("jira_key").eqNullSafe(F.col("_key"))).drop("_key")
     return (
         rows.withColumn(
             "development_duration_days", S.days_between(F.col("first_commit_date"), F.col("last_commit_date"))
@@ -147,6 +153,7 @@ def coverage(commits: DataFrame, issues: DataFrame, links: DataFrame) -> DataFra
 def commits_per_issue_dist(links: DataFrame) -> DataFrame:
     """Mean, median, 75th percentile and maximum of distinct commits per issue."""
     counts = links.groupBy(F.lit("all").alias("scope"), "jira_key").agg(F.count_distinct("commit_hash").alias("c"))
+    counts = materialize(counts)  # read by each of the figures
     spread = counts.groupBy("scope").agg(F.avg("c").alias("mean"), F.max("c").alias("max"))
     middle = exact_quantiles(counts, "c", {"median": 0.5, "p75": 0.75}, ["scope"])
     return spread.join(middle, "scope").select("mean", "median", "max", "p75")
