@@ -140,3 +140,24 @@ def test_null_author_is_no_developer(spark):
     ).withColumn("churn", F.col("insertions") + F.col("deletions"))
     r = churn.churn_profile(commits, releases).first()
     assert r["unique_developers"] == 2 and r["developer_churn_inequality"] == pytest.approx(0.0)
+
+
+def test_issue_metrics_sort_only_different_attributes(spark):
+    """Repeated issues with unlike texts count each commit and author once, and links are added up by hash."""
+    at = dt.datetime(2020, 1, 1)
+    commits = spark.createDataFrame(
+        [("c1", "K-1", at, "ann", "a@x", 1, 2, 3, 1), ("c2", "K-1,K-2", at, "bob", "b@x", 1, 2, 3, 1)],
+        "hash string, jira_keys string, date timestamp, author_name string, author_email string, insertions long,"
+        " deletions long, churn long, num_files long",
+    )
+    texts = [c for c in links.ATTRIBUTES]
+    issues = spark.createDataFrame(
+        [("K-1", at, at, *["old"] * len(texts)), ("K-1", at, at, *["older"] * len(texts))],
+        "key string, created timestamp, resolved timestamp, " + ", ".join(f"{c} string" for c in texts),
+    )
+    found = links.issue_metrics(links.commit_issue_links(commits, issues))
+    rows = {r["jira_key"]: r for r in found.collect()}
+    assert (rows["K-1"]["num_commits"], rows["K-1"]["num_developers"], rows["K-1"]["total_churn"]) == (2, 2, 12)
+    assert rows["K-1"]["status"] == "older" and rows["K-2"]["status"] is None
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") <= 2
