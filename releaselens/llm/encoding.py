@@ -9,11 +9,13 @@ token of the vocabulary, which the library gives its own id wherever it stands.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import sys
 from array import array
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
@@ -23,6 +25,8 @@ _UNIT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _SPACES = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029]
 _SPACES += [0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]")
+#: Those of them that a text of Latin-1 characters can have.
+_ODD_ASCII, _ODD_LATIN = (tuple(chr(x) for x in _SPACES if x < most) for most in (0x80, 0x100))
 #: Runs of white space: without one, each blank and each line feed stands alone between two words.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: Units that a worker keeps (some 200 bytes each), and the longest that it keeps.
@@ -44,11 +48,23 @@ _SIMPLE = re.compile(f"([ \\n]?)([{_LATIN}]+)([.,;:!?]*)")
 _PROBES = ("word", " Word", " caf" + chr(0xE9) + ",", " THE!!", "end.", " " + chr(0xC9) + "t" + chr(0xE9), "A" + chr(0xDF))
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The printable character that stands for each byte: itself if printable, else the next free one from 256."""
     kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in kept]
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    own = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(own[b] for b in range(256))
+
+
+def _odd_space(text: str) -> bool:
+    """Whether a text has white space other than blank, tab, line feed and carriage return."""
+    if text.isascii():
+        return any(c in text for c in _ODD_ASCII)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER_SPACE.search(text) is not None
+    return any(c in text for c in _ODD_LATIN)
 
 
 class Encoder:
@@ -80,30 +96,37 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token by the library's model."""
-        if part not in self.parts:
+        found = self.parts.get(part)
+        if found is None:
             if len(self.parts) >= self.kept // 2:
                 self.parts.clear()
-            if part.isascii():
-                spelt = part.replace(" ", self.letters[32]).replace("\n", self.letters[10])
-            else:
-                spelt = "".join([self.letters[b] for b in part.encode()])
-            self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        return self.parts[part]
+            spelt = codecs.charmap_decode(part.encode(), "strict", self.letters)[0]
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return found
 
     def _simple(self, found: re.Match) -> bytes:
         lead, word, marks = found.groups()
-        if self.joins_blank:
-            line = self._part(lead) if lead == "\n" else b""
-            return line + self._part(word if line else lead + word) + (self._part(marks) if marks else b"")
-        return self._part(word.lower()) + (self._part(marks) if marks else b"")
+        if not self.joins_blank:
+            ids = self._part(word.lower())
+        elif lead == "\n":
+            ids = self._part(lead) + self._part(word)
+        else:
+            ids = self._part(lead + word)
+        return ids + self._part(marks) if marks else ids
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of each unit: simple ones by the model, the others by the whole library."""
         if self.joins_blank is None:
             return dict(zip(units, self.direct(units)))
-        found = {u: _SIMPLE.fullmatch(u) for u in units}
-        rest = [u for u, m in found.items() if not m]
-        return {u: self._simple(m) for u, m in found.items() if m} | dict(zip(rest, self.direct(rest)))
+        out, rest = {}, []
+        for unit in units:
+            found = _SIMPLE.fullmatch(unit)
+            if found:
+                out[unit] = self._simple(found)
+            else:
+                rest.append(unit)
+        out.update(zip(rest, self.direct(rest)))
+        return out
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each text from the library, without the table."""
@@ -114,25 +137,27 @@ class Encoder:
         return out
 
     def _joined(self, known: dict[str, bytes], keys: list[str], lead: str) -> bytes:
-        try:
+        missing = list(set(keys).difference(known))
+        if not missing:
             return b"".join(map(known.__getitem__, keys))
-        except KeyError:
-            missing = [k for k in set(keys) if k not in known]
         units = [k if not lead or k[0] == "\n" else lead + k for k in missing]
         ids = self.learn(units)
         own = {k: ids[u] for k, u in zip(missing, units)}
-        out = b"".join([own[k] if k in own else known[k] for k in keys])
-        short = [k for k in missing if len(k) <= KEPT_CHARS][: self.kept]
-        if len(known) + len(short) > self.kept:
+        known.update(own)  # for this text the table holds all its units
+        out = b"".join(map(known.__getitem__, keys))
+        for k in missing:
+            if len(k) > KEPT_CHARS:
+                del known[k], own[k]
+        if len(known) > self.kept:
             known.clear()
-        known.update((k, own[k]) for k in short)
+            known.update(islice(own.items(), self.kept))
         return out
 
     def encode(self, text: str | None) -> bytes:
         """All ids of the whole text; null is the empty text."""
         if not text:
             return b""
-        if self.whole or _OTHER_SPACE.search(text) or any(token in text for token in self.added):
+        if self.whole or _odd_space(text) or any(token in text for token in self.added):
             return self.direct([text])[0]
         if any(run in text for run in _RUNS) or text[0] in " \n" or text[-1] in " \n":
             return self._joined(self.units, _UNIT.findall(text), "")

@@ -92,3 +92,17 @@ def test_null_ids_come_first_and_empty_tables(spark, table):
     assert {(r["doc_id"], r["start"]) for r in t.read_shards(spark, path).collect()} == {(None, 0), (5, 2)}
     empty = t.write_shards(table(["a"]).limit(0), VOCAB, 2)
     assert t.read_shards(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("vocab", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("kept", [3, 1_000_000])
+def test_encoder_with_few_kept_units_and_odd_spaces(vocab, kept):
+    from releaselens.llm.encoding import KEPT_CHARS, Encoder, _odd_space, _OTHER_SPACE, vocabulary
+
+    code = Encoder(vocabulary(vocab), kept)
+    long = "x" * (KEPT_CHARS + 1)
+    texts = ["a new Word, café Öl.", "a a a new\nWord 7-up", f"{long} a {long}", "a  b", "a\x0bb", "a\x85b é", "a b", "世 a　b"]
+    for _ in range(2):
+        assert [code.encode(t) for t in texts] == code.direct(texts)
+    assert max(len(code.units), len(code.words)) <= kept and long not in code.words
+    assert [_odd_space(t) for t in texts] == [bool(_OTHER_SPACE.search(t)) for t in texts]
