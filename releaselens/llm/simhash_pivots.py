@@ -10,7 +10,8 @@ remaining references are random and discard inside a bucket. A bucket above ``HO
 blocks of its free bits, by the same argument, until none is larger: exact, with no cap. Buckets return a spanning
 forest of their links, never all pairs. Exact copies of a fingerprint are one row from the start.
 
-``keep_one``, the stage of the pipeline, is not bound to those ``BITS``: it links by the similarity of five-word shingles.
+``keep_one``, the stage of the pipeline, checks what these links join by all five-word shingles, and goes beyond ``BITS``: texts
+also meet by keys of their shingles.
 
 Links become components in rounds of written tables (least label of the neighbours, then of the label's label).
 
@@ -286,20 +287,21 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``d``, a digest of the set of shingles, its size and its band keys; the text itself is dropped."""
-    schema = docs.drop("text").schema.add("own", "binary").add("n", "long").add("keys", spark_type("array<long>"))
+    """``doc_id``, ``d``, the fingerprint ``fp``, a digest of the set of shingles, its size and its band keys; the text is dropped."""
+    schema = docs.drop("text").schema.add("fp", "long").add("own", "binary").add("n", "long").add("keys", spark_type("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 32 << 20):
-            own, n, keys = [], [], []
+            fp, own, n, keys = [], [], [], []
             for t in text_bytes(batch.column("text")):
+                fp.append(_signed(fingerprint_of(t)))
                 found = shingles_of(t)
                 own.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 n.append(len(found))
                 keys.append(band_keys(found).view("<i8"))
             last = [pa.array(own, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            columns = [batch.column("doc_id"), batch.column("d"), *last]
-            yield pa.record_batch(columns, ["doc_id", "d", "own", "n", "keys"])
+            columns = [batch.column("doc_id"), batch.column("d"), pa.array(fp, pa.int64()), *last]
+            yield pa.record_batch(columns, ["doc_id", "d", "fp", "own", "n", "keys"])
 
     return docs.select("doc_id", "d", "text").mapInArrow(run, schema)
 
@@ -421,10 +423,33 @@ def _by_rarest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     return _joined(labels, _met(dealt.where("rest"), other, enough & once), sets)
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of ids that the links between their fingerprints (``fps``) join: a star for each fingerprint, and
+    the links between the first ids of different ones."""
+    each = materialize(nodes.select("id", F.explode("fps").alias("fp")))
+    first = materialize(each.groupBy("fp").agg(F.min("id").alias("i")))
+    far = first.select(F.col("fp").alias("b"), F.col("i").alias("j"))
+    across = links(first).join(first.withColumnRenamed("fp", "a"), "a").join(far, "b").select("i", "j")
+    alike = each.join(first, "fp").select("i", F.col("id").alias("j"))
+    pairs = across.unionByName(alike).where("i <> j")
+    return materialize(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
+
+
+def _joined_by_fingerprints(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``labels`` after the links among the pairs that fingerprints join, which may not have labels yet."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+    labels = materialize(labels.unionByName(new))
+    a, b = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    apart = pairs.join(a, "a").join(b, "b").where("ra <> rb").select("a", "b", "ra", "rb")
+    return _joined(labels, apart, sets)
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without near duplicates: one of each component stays, the least id (nulls last).
 
-    Near duplicates have a similarity of ``ALIKE`` or more between their sets of shingles of ``NEAR`` words. Equal sets are
+    Near duplicates have a similarity of ``ALIKE`` or more between their sets of shingles of ``NEAR`` words. Texts meet by the
+    links between their fingerprints (``links``); since most pairs differ in more than ``BITS`` bits, also by their shingles. Equal sets are
     one from the start; others meet by several fingerprints a document (``BANDS`` keys of ``ROWS`` least values each), of
     which a pair at a similarity of 0.8 shares none with a chance of 7 in a million, and are linked only if all their
     shingles confirm it. Null and empty texts have the same empty set and are near duplicates of each other; a text of fewer
@@ -436,16 +461,21 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     d, nth = free_name(docs, "_digest"), free_name(docs, "_nth")
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_digest(text).alias("d"), F.col(f"`{text}`").alias("text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d")).alias("s")
-    nodes = _sketches(narrow).groupBy("own").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    fps = F.collect_set("fp").alias("fps")  # equal sets of shingles in another order or number have other fingerprints
+    nodes = _sketches(narrow).groupBy("own", "fp").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = nodes.groupBy("own").agg(F.min("s").alias("s"), F.first("n").alias("n"), F.first("keys").alias("keys"), fps)
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()))
     keyed = materialize(nodes.select("id", "n", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     members = materialize(keyed.join(shared, "key"))
-    wanted = nodes.join(members.select("id").distinct(), "id")
+    pairs = _fingerprint_pairs(nodes)
+    met = members.select("id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    wanted = nodes.join(met, "id")
     wanted = wanted.select("id", F.col("s.doc_id").alias("_id"), F.col("s.d").alias("_d"))
     texts = narrow.join(wanted, (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = materialize(_sets(texts).dropDuplicates(["id"]))
     labels = similar_components(members, sets)
+    labels = _joined_by_fingerprints(labels, pairs, sets)
     found = nodes.select("id", "s").join(labels, F.col("id") == F.col("node"), "left")
     stay = found.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("s").alias("s"))
     stay_id, stay_d = free_name(docs, "_stay_id"), free_name(docs, "_stay_d")

@@ -133,6 +133,23 @@ def test_keep_one_against_brute_force_jaccard(table, monkeypatch, stars, few):
     assert {r["doc_id"] for r in p.keep_one(table(texts, ids, clash=True)).collect()} == want
 
 
+def test_keep_one_joins_what_fingerprints_link_and_shingles_confirm(spark, table, monkeypatch):
+    # without the keys of the shingles
+    monkeypatch.setattr(p, "similar_components", lambda m, s: spark.createDataFrame([], "node long, root long"))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    close = [rng.choice(base) for _ in range(3000)]
+    texts = [" ".join(close), " ".join([*close[:-1], "new"]), " ".join([*close, "more"])]
+    # few different shingles and one passage many times over: fingerprints agree, sets do not
+    texts += [" ".join(base[:3] * 400 + [f"u{k}x{j}" for j in range(20)]) for k in range(4)]
+    texts += [" ".join(rng.sample(base, 200)) for _ in range(5)] + [None, ""]
+    ids = rng.sample(range(100), len(texts))
+    linked = set(brute_components(ids, [brute_fp(t) for t in texts]))
+    want, _ = brute_survivors(ids, texts)
+    assert len(linked) == 1 + 1 + 5 + 1 and want == linked | set(ids[3:7])
+    assert {r["doc_id"] for r in p.keep_one(table(texts, ids, clash=True)).collect()} == want
+
+
 def test_crowded_buckets_do_not_meet_pair_by_pair(spark, table, monkeypatch):
     rng, rows, whole = random.Random(8), [], p.materialize_with
 
