@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from releaselens.operators import churn, intervals, links, velocity
+from releaselens.sources import adaptors
 
 DAY = dt.datetime(2020, 1, 1)
 
@@ -101,6 +102,37 @@ def test_churn_profile_by_hand(spark):
         assert rows[empty]["unique_developers"] is None and rows[empty]["avg_files_per_commit"] is None
 
 
+def test_churn_groups_in_as_many_tasks_as_commits_need(spark, monkeypatch):
+    releases = spark.createDataFrame(
+        [("r", day(0), day(9)), ("s", day(3), day(6))], "release string, start_date timestamp, end_date timestamp"
+    )
+    rows = [(f"a{i % 7}", day(i % 9), i, i, 1, 2 * i) for i in range(60)]
+    commits = spark.createDataFrame(
+        rows, "author_name string, date timestamp, insertions bigint, deletions bigint, num_files bigint, churn bigint"
+    )
+    usual = sorted(map(repr, churn.churn_profile(commits, releases).collect()))
+    asked, split = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    written = churn.materialize_in
+    monkeypatch.setattr(churn, "TASK_COMMITS", 5)
+    monkeypatch.setattr(churn, "materialize_in", lambda df, *how: (asked.append(how), written(df, *how))[1])
+    assert sorted(map(repr, churn.churn_profile(commits, releases).collect())) == usual
+    assert asked == [(12, churn.SPLIT)] * 2 and spark.conf.get("spark.sql.files.maxPartitionBytes") == split
+
+
+def test_commits_are_dealt_before_they_are_grouped(spark, tmp_path, monkeypatch):
+    """A task's groups are bounded by its rows, not by its split of the files; null keys are a commit too."""
+    rows = [(i % 20 or None, i % 3, day(i % 2), i, 1.0, 1) for i in range(120)]
+    lines = "l_orderkey long, l_suppkey long, l_shipdate timestamp, l_partkey long, l_quantity double, l_linenumber int"
+    spark.createDataFrame(rows, lines).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = adaptors.role(spark, str(tmp_path), "commits")
+    monkeypatch.setattr(adaptors, "TASK_ROWS", 10)
+    made = adaptors.role(spark, str(tmp_path), "commits")
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, whole.collect()))
+    assert made.count() == 60 and made.agg(F.sum("insertions")).first()[0] == 120
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "12), REPARTITION_BY_NUM" in plan
+
+
 def test_links_keep_unknown_keys_and_coverage_counts(spark):
     issues = spark.createDataFrame(
         [("K-1", day(2), day(4), "Bug"), ("K-2", day(0), None, "Task")],
