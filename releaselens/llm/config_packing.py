@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from releaselens.llm.common import by_bytes
-from releaselens.llm.encoding import encoder, vocabulary
+from releaselens.llm.encoding import KEPT_UNITS, encoder, vocabulary
 from releaselens.operators.ordering import running_totals
 from releaselens.session import materialize
 
@@ -35,17 +35,19 @@ TOLERANCE, CLASSES = 0.01, 256
 
 
 def pieces(
-    docs: DataFrame, vocab: str, end_id: int, size: int = SIZE, text: str = "text", doc_id: str = "doc_id"
-) -> DataFrame:
+    docs: DataFrame, vocab: str, end_id: int, size: int = SIZE, text: str = "text", doc_id: str = "doc_id",
+    kept: int = KEPT_UNITS,
+) -> DataFrame:
     """Pieces of the encoded documents: ``doc_id``, ``piece``, ``start``, ``length``, ``ids`` (unsigned 32-bit).
 
     Each document ends with ``end_id``. One longer than ``size`` is cut so that only its first piece may be shorter.
+    A worker's encoder holds ``kept`` units at most: fewer take less memory and more time.
     """
     path = vocabulary(vocab)
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code = encoder(path, kept)
         for batch in by_bytes(batches, "text", 4 << 20):
             rows = []
             for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

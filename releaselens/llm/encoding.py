@@ -166,9 +166,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_UNITS) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 def vocabulary_size(name: str) -> int:

@@ -51,3 +51,26 @@ def test_run_returns_the_last_stage(spark):
 
 def test_names_of_the_queries():
     assert sorted({int(k[2:].split("_")[0]) for k in queries.queries()}) == list(range(1, 14))
+
+
+def test_stages_bound_what_a_worker_holds(spark):
+    """Batches of whole texts are bounded in bytes; an encoder that keeps few units gives the same pieces."""
+    import pyarrow as pa
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(setting, None)
+    texts = [" ".join(f"w{(7 * i + k) % 97}" for k in range(80_000)) for i in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        c.secrets(spark, docs, "")
+        held = [r[0] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(held) > 1 and max(held) < (4 << 20) + 2 * len(texts[0])
+    finally:
+        spark.conf.unset(setting) if usual is None else spark.conf.set(setting, usual)
+    few, many = (c.config_packing.pieces(docs.limit(2), c.VOCABULARY, c.END_ID, kept=n) for n in (50, 1000))
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
