@@ -106,3 +106,32 @@ def test_encoder_with_few_kept_units_and_odd_spaces(vocab, kept):
         assert [code.encode(t) for t in texts] == code.direct(texts)
     assert max(len(code.units), len(code.words)) <= kept and long not in code.words
     assert [_odd_space(t) for t in texts] == [bool(_OTHER_SPACE.search(t)) for t in texts]
+
+
+@pytest.mark.parametrize("vocab", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_marks_need_no_whole_library(vocab):
+    """Each kind of word with marks goes to the model alone; a word is learned once, whatever texts hold it."""
+    from releaselens.llm.encoding import Encoder, vocabulary
+
+    code, whole = Encoder(vocabulary(vocab)), Encoder(vocabulary(vocab))
+    marks = ["", ",", "...", "###", "$$$", ".&&&", ",%%%", "*!?;:", "#1", "'s", "-", "###x"]
+    words = ["word", "Word", "caf" + chr(0xE9), "A" + chr(0xDF), "z" + chr(0x131), "\u03a3\u03a3", "7", "x" * 70]
+    units = [w + m for w in words for m in marks] + ["###", "."]
+    texts = [" ".join(units), "\n".join(units), "  ".join(units), *units]
+    direct, asked = code.direct, []
+    code.direct = lambda found: (asked.extend(found), direct(found))[1]
+    assert [code.encode(t) for t in texts] == whole.direct(texts)
+    plain = {lead + w + m for lead in ("", " ", "\n") for w in words[:4] for m in marks[:8]}
+    assert asked and not plain & set(asked)
+
+
+def test_batches_are_cut_by_the_bytes_of_their_values():
+    import pyarrow as pa
+
+    from releaselens.llm.common import by_bytes
+
+    texts = ["a" * 4, None, chr(0xE9) * 3, "", "b" * 20, "c"]
+    for kind in (pa.string(), pa.large_string(), pa.binary()):
+        batch = pa.record_batch([pa.array([None if t is None else t.encode() for t in texts], pa.binary()).cast(kind)], ["t"])
+        cut = [b.num_rows for b in by_bytes(iter([batch.slice(0, 3), batch.slice(3)]), "t", 8)]
+        assert cut == [2, 1, 2, 1]
