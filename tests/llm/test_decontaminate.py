@@ -83,6 +83,37 @@ def test_the_driver_holds_three_matrices_of_the_fit(spark):
     assert values[0] <= np.linalg.norm(dense, 2) * (1 + 1e-6)
 
 
+def test_the_basis_is_fitted_on_every_passage(spark, monkeypatch):
+    """Texts of odd lengths and items: directions are those of all their passages, however few words a task holds at once."""
+    monkeypatch.setattr(d, "WORDS_AT_ONCE", 64)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 200, n).astype(np.uint32) for n in [0, 1, 15, 16, 17, 300, *rng.integers(1, 90, 3000)]]
+    items = [rng.integers(0, 200, n).astype(np.uint32) for n in (5, 16, 40)]
+    table = spark.createDataFrame([(bytearray(w.tobytes()),) for w in texts], "words binary").repartition(7)
+    idf = rng.uniform(1, 3, d.BUCKETS).astype(np.float32)
+    directions, values = d.fit(table, idf, rank=200, items=items)
+    rows = [w[at : at + d.SEGMENT] for w in texts for at in range(0, len(w), d.SEGMENT)] + items
+    dense = np.zeros((len(rows), 200))
+    for i, r in enumerate(rows):
+        np.add.at(dense[i], r, idf[r])
+    dense /= np.sqrt([(idf[r].astype(float) ** 2).sum() for r in rows])[:, None]
+    assert len(rows) > 5000
+    assert np.allclose(values, np.linalg.svd(dense, compute_uv=False), rtol=1e-2)
+    assert np.allclose(directions.T.astype(float) @ directions, np.eye(200), atol=1e-5)
+
+
+def test_a_basis_is_not_fitted_on_a_share_of_the_texts(spark, table, monkeypatch):
+    """All passages of all texts reach the fit."""
+    seen = []
+    plain = d.fit
+    monkeypatch.setattr(d, "fit", lambda t, *a, **k: seen.append(t) or plain(t, *a, **k))
+    texts = [" ".join(f"w{(i * 7 + j) % 911}" for j in range(16 * 300)) for i in range(140)]
+    bench = spark.createDataFrame([(1, "some words of an item here")], "item_id long, text string")
+    assert d.find_leaks(table(texts), bench).count() == 0
+    words = seen[0].selectExpr("sum(length(words)) / 4").first()[0]
+    assert words == 140 * 16 * 300  # 42,000 passages
+
+
 def test_orthonormal_keeps_the_span():
     rng = np.random.default_rng(5)
     dense = (rng.standard_normal((d.BUCKETS, 12)) * np.logspace(0, -4, 12)).astype(np.float32)
