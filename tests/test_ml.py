@@ -314,3 +314,14 @@ def test_runs_come_back_with_identical_scores(spark, tmp_path):
     for name in kinds:
         assert sorted(loaded[name].score(df).collect()) == sorted(fitted[name].score(df).collect())
     assert snapshots.load_run(spark, root, "20260101_000000")[0]["folds"].count() == 3
+
+
+@pytest.mark.parametrize("label", [0, 1])
+@pytest.mark.parametrize("model", [models.logistic_regression(), models.rbf_svm(size=8)])
+def test_training_rows_of_one_class_say_that_class(spark, model, label):
+    """An early fold may hold no other class."""
+    train = spark.createDataFrame([(float(i), -float(i), label) for i in range(6)], "x double, y double, label int")
+    held = spark.createDataFrame([(0.5, 1.0, 0), (9.0, 2.0, 1)], "x double, y double, label int")
+    told = model.fit(train, ["x", "y"], "label").score(held)
+    assert told.columns == [*held.columns, "score", "pred"]
+    assert [(r["score"], r["pred"]) for r in told.collect()] == [(float(label), label)] * 2
