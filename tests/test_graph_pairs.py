@@ -6,7 +6,7 @@ from collections import Counter, deque
 import numpy as np
 import pytest
 
-from releaselens.operators import graph, pairs, traversal
+from releaselens.operators import graph, intervals, packed, pairs, traversal
 
 GRAPHS = {
     "star": ("cabd", [("c", "a"), ("c", "b"), ("c", "d")]),
@@ -238,3 +238,56 @@ def test_cocommit_edges_match_nested_loops(spark, touches, tile):
     nodes, edges = pairs.cocommit_graph(df, frame, tile=tile)
     assert {(r["release"], r["a"], r["b"]): r["weight"] for r in edges.collect()} == dict(want)
     assert {(r["release"], r["node"]) for r in nodes.collect()} == active
+
+
+def test_packed_graphs_in_blocks_of_sources(spark, frames, monkeypatch):
+    """All measures from one search, whose components have more sources than a block seats."""
+    monkeypatch.setattr(traversal, "SEATS", 4)
+    graphs = packed.pack(*frames)
+    found = packed.search(graphs.parts, loads=True, sums=True)
+    depth = by_release(packed.diameters(graphs, found), "diameter")
+    assert depth == {"star": 2, "path": 3, "cycle": 2, "two": 1, "single": 0, "pair": 1, "long": 9}
+    most = by_release(packed.betweenness(graphs, found), "max_betweenness")
+    assert most["star"] == pytest.approx(1.0) and most["long"] == pytest.approx(20 / 36) and most["single"] == 0
+    near = by_release(packed.closeness(graphs, found), "avg_closeness")
+    reach = [distances(GRAPHS["long"][0], GRAPHS["long"][1], n) for n in GRAPHS["long"][0]]
+    assert near["long"] == pytest.approx(sum(9 / sum(d.values()) for d in reach) / 10)
+    assert near["two"] == 0 and near["single"] == 0 and near["pair"] == 1
+    assert by_release(packed.clustering(graphs), "avg_clustering")["two"] == pytest.approx(3 / 7)
+
+
+def test_graphs_too_large_to_pack_go_over_joins(frames, monkeypatch):
+    monkeypatch.setattr(packed, "GRAPH_EDGES", 4)
+    assert packed.pack(*frames).shapes.count() == len(GRAPHS) - 2
+    rows = graph.graph_components(*frames)
+    assert by_release(rows, "num_components") == {g: 3 if g == "two" else 1 for g in GRAPHS}
+
+
+def test_triangles_and_smallest_linked_of_a_made_graph(monkeypatch):
+    monkeypatch.setattr(packed, "WEDGES", 50)
+    rng = np.random.default_rng(3)
+    n = 60
+    pairs_ = sorted({tuple(sorted(p)) for p in rng.integers(0, n, (90, 2)).tolist() if p[0] != p[1]})
+    a, b = np.array(pairs_, np.int32).T
+    near = np.zeros((n, n), int)
+    near[a, b] = near[b, a] = 1
+    assert packed.triangles(n, a, b, near.sum(1)).tolist() == (np.diag(near @ near @ near) // 2).tolist()
+    node, other = np.nonzero(near)
+    label = packed.smallest_linked(n, other.astype(np.int32), near.sum(1))
+    reach = np.linalg.matrix_power(near + np.eye(n, dtype=int), 8) > 0
+    for _ in range(4):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    assert label.tolist() == reach.argmax(1).tolist()
+
+
+def test_slots_end_at_bounds_only(spark):
+    """A long interval is one slot, however many days it has; overlapping ones share slots."""
+    day = dt.datetime(2020, 1, 1)
+    rows = [("a", day, day + dt.timedelta(days=100)), ("b", day + dt.timedelta(days=50, hours=3), day + dt.timedelta(days=120))]
+    frame = spark.createDataFrame(rows, "release string, s timestamp, e timestamp")
+    slots, members = intervals.interval_slots(frame, ["release"], "s", "e")
+    assert sorted(r["release"] for r in members.collect()) == ["a", "a", "b", "b"]
+    events = spark.createDataFrame([(i, day + dt.timedelta(days=i)) for i in range(-1, 122)], "i int, at timestamp")
+    held = intervals.attach_slot(events, slots, "at").join(members, "slot")
+    got = {g: sorted(r["i"] for r in held.collect() if r["release"] == g) for g in "ab"}
+    assert got == {"a": [*range(0, 101)], "b": [*range(51, 121)]}
